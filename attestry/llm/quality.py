@@ -29,7 +29,7 @@ HIDDEN = 24
 TRAIN_DOCS = 3000
 #: Passages of one document that training looks at, evenly spaced.
 TRAIN_PASSAGES = 32
-EPOCHS = 14
+EPOCHS = 8
 #: Byte counts, then the statistics of word_statistics().
 STATISTICS = 7
 FEATURES = 256 + STATISTICS

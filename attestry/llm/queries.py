@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import bpe, media, mixing, quality, simhash, token_counts, toxicity, warc, weighted_sampling
+from attestry.llm import bpe, media, mixing, quality, simhash, substrings, token_counts, toxicity, warc, weighted_sampling
 from attestry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -61,7 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_quality": op1_quality, "op2_weighted_sampling": op2_weighted_sampling, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing,
+    "op1_quality": op1_quality, "op2_weighted_sampling": op2_weighted_sampling, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_substrings": op7_substrings,
     "op8_token_counts": op8_token_counts, "op9_media": op9_media, "op10_warc": op10_warc,
 }
 

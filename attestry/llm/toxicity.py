@@ -8,8 +8,9 @@ estimated as
 
 where the second part, the risk on negative text, is kept from going negative
 (when it does, training steps back along it). The classifier is linear over
-the presence of words that toxic examples hold far more often than text at
-large, so the length of a text does not matter.
+the presence of terms (words, and beginnings of words, which stand for the
+inflected forms that no example shows) that toxic examples hold far more often
+than text at large, so the length of a text does not matter.
 """
 
 from __future__ import annotations
@@ -25,19 +26,30 @@ from pyspark.sql import types as T
 
 from attestry.llm.common import Batches, stage, texts_of
 
-TERM = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")
+#: Lengths of the beginnings of words that are terms; they end in a hyphen.
+BEGINNINGS = (3, 4, 5)
 #: Bounds of the training sample, whose documents are chosen by a hash of their ids.
 POSITIVES = 4000
 UNLABELLED = 8000
-#: Words that the classifier may use.
+#: Terms that the classifier may use.
 TERMS = 400
-#: A word is used if it is in so many toxic examples and, beyond chance, so many times commoner there.
+#: A term is used if it is in so many toxic examples and, beyond chance, so many times commoner there.
 LEAST_EXAMPLES = 4
 LEAST_LIFT = 3.0
-LEAST_Z = 5.0
+LEAST_Z = 3.5
 STEPS = 400
 
 
+def terms(text: str) -> set[str]:
+    """The different terms of a whole text."""
+    words = set(WORD.findall(text.lower()))
+    out = set(words)
+    for n in BEGINNINGS:
+        out.update([w[:n] + "-" for w in words if len(w) > n])
+    return out
+
+
 @dataclass
 class Model:
     weight: dict[str, float]
@@ -45,11 +57,11 @@ class Model:
 
     def score(self, text: str) -> float:
         """The probability that a whole text is toxic."""
-        x = self.bias + sum(self.weight[w] for w in self.weight.keys() & set(TERM.findall(text.lower())))
+        x = self.bias + sum(self.weight[w] for w in sorted(self.weight.keys() & terms(text)))
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, decay: float = 2e-3) -> tuple[np.ndarray, float]:
+def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, decay: float = 4e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear classifier with the smallest non-negative risk, by Adam over all rows."""
     xp, xu = x[positive], x[~positive]
     w, b = np.zeros(x.shape[1]), np.log(prior / (1 - prior))
@@ -71,11 +83,11 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STE
 
 
 def _terms(docs: DataFrame) -> DataFrame:
-    """Each row's different words; docs has text and positive."""
+    """Each row's terms; docs has id, text and positive."""
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            words = [list(dict.fromkeys(TERM.findall(t.lower()))) for t in texts_of(b)]
+            words = [sorted(terms(t)) for t in texts_of(b)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("positive"), pa.array(words, pa.list_(pa.string()))], names=["id", "positive", "words"])
 
     return docs.mapInArrow(run, "id bigint, positive boolean, words array<string>")
@@ -104,15 +116,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
     if not n_p or not n_u:
         return Model({}, float(np.log(prior / (1 - prior))) if n else -3.0)
     seen = rows.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
-    # How often negative text holds the word: the unlabelled rate less the toxic part of it.
+    # How often negative text holds the term: the unlabelled rate less the toxic part of it.
     rate_p, rate_u = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1)
     rate_n = F.greatest((rate_u - prior * rate_p) / (1 - prior), F.lit(0.5 / (n_u + 1)))
     z = (rate_p - rate_n) / F.sqrt(rate_n * (1 - rate_n) / n_p + rate_p * (1 - rate_p) / n_p + 1e-12)
-    terms = [r["word"] for r in seen.where((F.col("p") >= LEAST_EXAMPLES) & (rate_p > LEAST_LIFT * rate_n)).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(TERMS).collect()]
-    place = {t: i for i, t in enumerate(sorted(terms))}
+    chosen_terms = [r["word"] for r in seen.where((F.col("p") >= LEAST_EXAMPLES) & (rate_p > LEAST_LIFT * rate_n)).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(TERMS).collect()]
+    place = {t: i for i, t in enumerate(sorted(chosen_terms))}
     wanted = F.array(*map(F.lit, place)) if place else F.array().cast("array<string>")
     got = sorted(rows.select("id", "positive", F.array_intersect("words", wanted).alias("words")).collect(), key=lambda r: (r["id"], r["positive"]))
-    x, positive = np.zeros((len(got), len(place)), np.float32), np.array([r["positive"] for r in got])
+    x, positive = np.zeros((len(got), len(place))), np.array([r["positive"] for r in got])
     for i, r in enumerate(got):
         x[i, [place[w] for w in r["words"]]] = 1
     w, b = fit_nnpu(x, positive, prior)

@@ -1,6 +1,7 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A text is its words with their counts as weights. For each of the fingerprint's
+A text is its words (what stands between spaces, line ends and tabs) with
+their counts as weights; a text without a word has the empty word. For each of the fingerprint's
 samples, a term draws r and c from Gamma(2, 1) and b from [0, 1), all from a
 hash of the term and the sample's number. With
 
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import stage
 
-#: Samples in a fingerprint.
-SAMPLES = 32
+#: Samples in a fingerprint, a multiple of BLOCK.
+SAMPLES = 24
+#: Samples that one row of a term draws. More would make the generated method
+#: longer than what the JVM compiles.
+BLOCK = 8
 #: Quantiles in a table; its index is BITS bits of the hash.
 BITS = 12
 #: ln a is between -LN_SHIFT and LN_SHIFT for weights below 10**12.
@@ -53,23 +57,25 @@ def _table(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
-def sample(term: Column, ln_weight: Column, k: int) -> Column:
+def sample(term: Column, ln_weight: Column, k: Column) -> Column:
     """The 64-bit integer whose minimum over a text's terms is sample k."""
-    h = F.xxhash64(term, F.lit(k))
+    h = F.xxhash64(term, k)
     mask = (1 << BITS) - 1
-    r = F.get(_table(gamma_quantiles()), h.bitwiseAND(F.lit(mask)).cast("int"))
+    at = h.bitwiseAND(F.lit(mask)).cast("int")
+    r = F.get(_table(gamma_quantiles()), at)
     ln_c = F.get(_table(np.log(gamma_quantiles())), F.shiftright(h, BITS).bitwiseAND(F.lit(mask)).cast("int"))
     b = F.shiftrightunsigned(h, 2 * BITS).cast("double") / F.lit(float(1 << (64 - 2 * BITS)))
-    t = F.floor(ln_weight / r + b)
+    t = F.floor(ln_weight * F.get(_table(1 / gamma_quantiles()), at) + b)
     ln_a = ln_c - r * (t - b + 1)
     name = term.bitwiseXOR(F.shiftleft(t, 8)).bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
     return F.shiftleft(((ln_a + LN_SHIFT) * LN_SCALE).cast("bigint"), 32).bitwiseOR(name)
 
 
-def words(text: Column) -> Column:
-    """The text's lower-cased words; an empty text has one empty word."""
-    space = " \t\n\u000b\f\r"
-    return F.split(F.lower(F.btrim(text, F.lit(space))), r"[\x20\x09-\x0D]+")
+def spaced(text: Column) -> Column:
+    """The text with a space for each line feed, carriage return and tab: single characters split fast."""
+    for c in "\n\r\t":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def signatures(rows: DataFrame, keys: list[str], text_col: str, samples: int = SAMPLES) -> DataFrame:
@@ -78,11 +84,17 @@ def signatures(rows: DataFrame, keys: list[str], text_col: str, samples: int = S
     keys name a row; if rows are already distributed by some of them, nothing
     is exchanged.
     """
-    terms = rows.select(*keys, F.explode(words(F.col(text_col))).alias("word")).select(*keys, F.xxhash64("word").alias("term"))
+    plain = rows.select(*keys, spaced(F.col(text_col)).alias("body")).withColumn("blank", F.btrim("body") == "")
+    words = plain.select(*keys, "blank", F.explode(F.split("body", " ")).alias("word"))
+    terms = words.where("word <> '' OR blank").select(*keys, F.xxhash64("word").alias("term"))
     counted = terms.groupBy(*keys, "term").agg(F.count("*").alias("n")).select(*keys, "term", F.ln(F.col("n").cast("double")).alias("ln_weight"))
-    drawn = counted.select(*keys, *(sample(F.col("term"), F.col("ln_weight"), k).alias(f"s{k}") for k in range(samples)))
-    least = drawn.groupBy(*keys).agg(*(F.min(f"s{k}").alias(f"s{k}") for k in range(samples)))
-    return least.select(*keys, F.array(*(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(samples))).alias("signature"))
+    blocks = F.explode(F.array(*(F.lit(b * BLOCK) for b in range(samples // BLOCK))))
+    spread = counted.select(*keys, "term", "ln_weight", blocks.alias("block"))
+    drawn = spread.select(*keys, "block", *(sample(F.col("term"), F.col("ln_weight"), F.col("block") + k).alias(f"s{k}") for k in range(BLOCK)))
+    least = drawn.groupBy(*keys, "block").agg(*(F.min(f"s{k}").alias(f"s{k}") for k in range(BLOCK)))
+    names = F.array(*(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(BLOCK)))
+    gathered = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", names.alias("names")))).alias("parts"))
+    return gathered.select(*keys, F.flatten(F.transform("parts", lambda x: x["names"])).alias("signature"))
 
 
 def as_text(signature: Column) -> Column:
