@@ -13,7 +13,7 @@ DAY = 86400.0
 def header_cookies(headers: Column) -> Column:
     """The cookie strings in an array of (name, value) headers: folded lines apart, blank ones dropped."""
     lines = F.flatten(F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == "set-cookie"), lambda h: F.split(h["value"], "\n")))
-    return F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_set_cookie(line: Column) -> Column:
@@ -21,7 +21,7 @@ def parse_set_cookie(line: Column) -> Column:
 
     The last one is picked by position, so no session setting matters.
     """
-    parts = F.transform(F.split(line, ";"), F.trim)
+    parts = F.transform(F.split(line, ";"), lambda x: F.trim(x))
     first = F.get(parts, 0)
     pairs = F.transform(F.filter(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), lambda x: x != ""), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, "=", 1))).alias("k"), F.when(F.contains(x, F.lit("=")), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x)))).alias("v")))
     last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))

@@ -25,8 +25,8 @@ def legal_units(text: Column, heading: str = vocab.HEADING, least: int = vocab.L
     """
     groups = re.compile(heading).groups
     parts = F.transform(F.split(text, f"(?im)(?=^(?:{heading}))"), lambda x: F.btrim(x, F.lit(" \t\r\n")))
-    number = lambda x: F.coalesce(*(F.nullif(F.regexp_extract(x, f"(?im)^(?:{heading})", g), F.lit("")) for g in range(1, groups + 1))) if groups else F.lit(None).cast("string")
-    headed = F.filter(parts, lambda x: x.rlike(f"(?i)^(?:{heading})"))
+    number = lambda x: F.coalesce(*(F.nullif(F.regexp_extract(x, rf"(?im)\A(?:{heading})", g), F.lit("")) for g in range(1, groups + 1))) if groups else F.lit(None).cast("string")
+    headed = F.filter(parts, lambda x: x.rlike(rf"(?im)\A(?:{heading})"))
     units = F.transform(F.filter(headed, lambda x: F.length(x) >= least), lambda x: F.struct(number(x).alias("number"), x.alias("text")))
     blocks = F.filter(F.transform(F.split(text, "\n\n"), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
     fallback = F.transform(blocks, lambda x, i: F.struct((i + 1).cast("string").alias("number"), x.alias("text")))
@@ -116,7 +116,7 @@ def word_gate(text: Column) -> Column:
 
 def headings_of_plain(text: Column) -> Column:
     """Plain lines as markdown: a short line in capitals or title case is a heading."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     cased = lambda x: x.rlike(r"\p{L}")
     title = lambda x: (F.initcap(x) == x) & (F.regexp_count(x, F.lit(r"\S+")) < 10)
     head = lambda x: (F.length(x) < 80) & cased(x) & ((F.upper(x) == x) | title(x))
