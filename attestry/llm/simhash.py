@@ -27,6 +27,8 @@ from attestry.llm.components import components
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
+#: Ids up to this many are sent to all executors; more are joined by exchange.
+BROADCAST_ROWS = 500_000
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 14
 
@@ -110,7 +112,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, text_col: str = "text", id_c
     without an id can't be told apart and all stay. Columns are those of docs.
     """
     found = stage(near_duplicates(docs, radius, text_col, id_col), "simhash-found")
-    drop = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    drop = stage(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "simhash-drop")
+    if drop.count() <= BROADCAST_ROWS:
+        drop = F.broadcast(drop)
     repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
     kept = docs.join(drop, id_col, "left_anti").select(*docs.columns)
     if repeated.isEmpty():
