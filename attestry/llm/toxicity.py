@@ -8,14 +8,15 @@ estimated as
 
 where the second part, the risk on negative text, is kept from going negative
 (when it does, training steps back along it). The classifier is linear over
-the presence of terms (words, and beginnings of words, which stand for the
-inflected forms that no example shows) that toxic examples hold far more often
-than text at large, so the length of a text does not matter.
+how densely a text holds terms (words, and beginnings of words, which stand
+for the inflected forms that no example shows) that far more toxic examples
+hold than texts at large. A long text may hold one by chance.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.llm.common import Batches, stage, texts_of
+from attestry.llm.common import Batches, Memo, stage, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are terms; they end in a hyphen.
-BEGINNINGS = (3, 4, 5)
+BEGINNINGS = (4, 5)
+#: Words that are added to a text's length where densities are taken.
+SHORT = 25
 #: Bounds of the training sample, whose documents are chosen by a hash of their ids.
 POSITIVES = 4000
 UNLABELLED = 8000
@@ -37,17 +40,22 @@ TERMS = 400
 #: A term is used if it is in so many toxic examples and, beyond chance, so many times commoner there.
 LEAST_EXAMPLES = 4
 LEAST_LIFT = 3.0
-LEAST_Z = 3.5
-STEPS = 400
+LEAST_Z = 2.5
+STEPS = 800
 
 
-def terms(text: str) -> set[str]:
-    """The different terms of a whole text."""
-    words = set(WORD.findall(text.lower()))
-    out = set(words)
-    for n in BEGINNINGS:
-        out.update([w[:n] + "-" for w in words if len(w) > n])
-    return out
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def terms(word: str) -> list[str]:
+    """The terms of a word: itself and its beginnings."""
+    return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) > n)]
+
+
+def densities(counts, n_words: int):
+    """Occurrences in a hundred words; a few words more keep those of very short texts small."""
+    return 100.0 * counts / (n_words + SHORT)
 
 
 @dataclass
@@ -55,13 +63,30 @@ class Model:
     weight: dict[str, float]
     bias: float
 
-    def score(self, text: str) -> float:
-        """The probability that a whole text is toxic."""
-        x = self.bias + sum(self.weight[w] for w in sorted(self.weight.keys() & terms(text)))
-        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+    def scorer(self):
+        """A function from a whole text to the probability that it is toxic, with a memory of words."""
+        of = _WordWeights(self.weight)
+
+        def score(text: str) -> float:
+            words = words_of(text)
+            x = self.bias + densities(sum([of[w] for w in words]), len(words))
+            return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+
+        return score
+
+
+class _WordWeights(Memo):
+    """word -> the weights of its terms."""
+
+    def __init__(self, weight: dict[str, float]):
+        super().__init__(200_000)
+        self.weight = weight
+
+    def compute(self, word: str) -> float:
+        return sum(self.weight.get(t, 0.0) for t in terms(word))
 
 
-def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, decay: float = 4e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear classifier with the smallest non-negative risk, by Adam over all rows."""
     xp, xu = x[positive], x[~positive]
     w, b = np.zeros(x.shape[1]), np.log(prior / (1 - prior))
@@ -83,18 +108,22 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STE
 
 
 def _terms(docs: DataFrame) -> DataFrame:
-    """Each row's terms; docs has id, text and positive."""
+    """Each row's terms with their counts, and its number of words; docs has id, text and positive."""
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            words = [sorted(terms(t)) for t in texts_of(b)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("positive"), pa.array(words, pa.list_(pa.string()))], names=["id", "positive", "words"])
+            words = [words_of(t) for t in texts_of(b)]
+            counts = [Counter(t for w in ws for t in terms(w)) for ws in words]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("positive"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())), pa.array([len(ws) for ws in words], pa.int32())],
+                names=["id", "positive", "words", "counts", "n_words"],
+            )
 
-    return docs.mapInArrow(run, "id bigint, positive boolean, words array<string>")
+    return docs.mapInArrow(run, "id bigint, positive boolean, words array<string>, counts array<int>, n_words int")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """Fit on at most POSITIVES toxic examples and UNLABELLED other documents.
+    """Fit on at most POSITIVES toxic examples and UNLABELLED documents of all.
 
     labels holds only rows that may be learned from, docs only documents that
     may be looked at. The class prior is the share of label 1 among labels;
@@ -108,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
     mixed = F.xxhash64("id"), "id"
     ids = docs.select(F.col(id_col).cast("bigint").alias("id")).where("id IS NOT NULL")
     p_ids = ids.join(toxic, F.col("id") == F.col("toxic_id"), "left_semi").orderBy(*mixed).limit(POSITIVES)
-    u_ids = ids.join(toxic, F.col("id") == F.col("toxic_id"), "left_anti").orderBy(*mixed).limit(UNLABELLED)
+    u_ids = ids.orderBy(*mixed).limit(UNLABELLED)  # of all text, so that the prior is its toxic share
     chosen = F.broadcast(p_ids.withColumn("positive", F.lit(True)).unionByName(u_ids.withColumn("positive", F.lit(False))).select(F.col("id").alias("chosen_id"), "positive").distinct())
     sample = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(chosen, F.col("id") == F.col("chosen_id")).select("id", "text", "positive")
     rows = stage(_terms(sample), "toxicity-sample")
@@ -123,10 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
     chosen_terms = [r["word"] for r in seen.where((F.col("p") >= LEAST_EXAMPLES) & (rate_p > LEAST_LIFT * rate_n)).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(TERMS).collect()]
     place = {t: i for i, t in enumerate(sorted(chosen_terms))}
     wanted = F.array(*map(F.lit, place)) if place else F.array().cast("array<string>")
-    got = sorted(rows.select("id", "positive", F.array_intersect("words", wanted).alias("words")).collect(), key=lambda r: (r["id"], r["positive"]))
+    held = F.map_filter(F.map_from_arrays("words", "counts"), lambda k, _: F.array_contains(wanted, k))
+    got = sorted(rows.select("id", "positive", "n_words", held.alias("held")).collect(), key=lambda r: (r["id"], r["positive"]))
     x, positive = np.zeros((len(got), len(place))), np.array([r["positive"] for r in got])
     for i, r in enumerate(got):
-        x[i, [place[w] for w in r["words"]]] = 1
+        for t, c in r["held"].items():
+            x[i, place[t]] = densities(c, r["n_words"])
     w, b = fit_nnpu(x, positive, prior)
     return Model({t: float(w[i]) for t, i in place.items()}, b)
 
@@ -141,7 +172,7 @@ def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "t
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS words
 
     def run(batches: Batches) -> Batches:
-        of = sent.value.score
+        of = sent.value.scorer()
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([of(t) for t in texts_of(b, text_col)], pa.float64())], names=schema.names)
 
