@@ -139,21 +139,19 @@ def edited_report(docs: DataFrame, samples: int = SAMPLES, text_col: str = "text
     n_chars = F.length("text")
     half = F.floor(n_chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n_chars - half), F.substring("next_text", F.lit(1), half))
-    sha = F.sha2(F.col("edited").cast("binary"), 256)
-    digest = [F.conv(F.substring("sha", 1 + 16 * i, 16), 16, -10).cast("bigint").alias(f"sha{i}") for i in range(4)]
-    named = lined.withColumn("n_chars", n_chars.cast("bigint")).withColumn("edited", edited).withColumn("sha", sha)
-    named = named.select("slot", "place", "id", "n_chars", *digest, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body")))).alias("x"))
-    keys = ["slot", "place", "id", "n_chars", *(f"sha{i}" for i in range(4))]
-    both = signatures(named.select(*keys, "x.kind", "x.body"), [*keys, "kind"], "body", samples)
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), edited.alias("body"))))
+    bodies = lined.select("slot", "place", kinds.alias("x")).select("slot", "place", "x.kind", "x.body")
     own, other = (F.max(F.when(F.col("kind") == k, F.col("signature"))) for k in (0, 1))
-    rows = stage(both.groupBy(*keys).agg(own.alias("own"), other.alias("other")), "fingerprints")
+    both = signatures(bodies, ["slot", "place", "kind"], "body", samples).groupBy("slot", "place").agg(own.alias("own"), other.alias("other"))
+    # The rest of a row joins after the terms are added up: groups of terms have short keys.
+    facts = lined.select("slot", "place", "id", n_chars.cast("bigint").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
+    rows = stage(facts.join(both, ["slot", "place"]), "fingerprints")
 
     inner = Window.partitionBy("slot").orderBy("place")
     first = F.broadcast(rows.where("place = 1").join(succeeds, F.col("slot") == F.col("next_slot")).select("of_slot", F.col("own").alias("head")))  # a row for each slot
     known = rows.withColumn("next_own", F.lead("own").over(inner)).join(first, F.col("slot") == F.col("of_slot"), "left")
     return known.select(
-        F.col("id").alias(id_col), "n_chars",
-        F.lower(F.concat(*(F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)))).alias("edited_sha256"),
+        F.col("id").alias(id_col), "n_chars", "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
         likeness(F.col("own"), F.coalesce("next_own", "head")).alias("near_next"),
