@@ -30,13 +30,16 @@ TRAIN_DOCS = 3000
 #: Passages of one document that training looks at, evenly spaced.
 TRAIN_PASSAGES = 32
 EPOCHS = 8
+BATCH_DOCS = 32
+#: Few documents are gone over more often, until so many batches are done.
+LEAST_STEPS = 400
 #: Byte counts, then the statistics of word_statistics().
 STATISTICS = 7
 FEATURES = 256 + STATISTICS
 
 
 def word_statistics(words: list[bytes], joined: bytes) -> tuple[float, ...]:
-    """Of a passage: share of different words, of words that repeat the one before, mean length, share of the commonest pair of neighbours, length, words all in capitals, words without a letter."""
+    """Of a passage: shares of different words and of words that repeat the one before, mean length, share of different pairs of neighbours, number of words, shares of words in capitals and of words of letters alone."""
     n = len(words)
     if not n:
         return (0.0,) * STATISTICS
@@ -117,11 +120,12 @@ def fit(bags: list[np.ndarray], label: np.ndarray, seed: int = 1) -> Model:
     params = model.trained()
     m, s, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     sizes = np.array([len(b) for b in bags])
-    for epoch in range(EPOCHS):
-        rate = 0.004 * (1 - epoch / EPOCHS) + 0.0002
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH_DOCS // len(bags)))
+    for epoch in range(epochs):
+        rate = 0.004 * (1 - epoch / epochs) + 0.0002
         order = rng.permutation(len(bags))
-        for at in range(0, len(order), 32):
-            take = order[at : at + 32]
+        for at in range(0, len(order), BATCH_DOCS):
+            take = order[at : at + BATCH_DOCS]
             starts = np.concatenate([[0], np.cumsum(sizes[take])[:-1]])
             grads = model.gradients(np.concatenate([bags[i] for i in take]), starts, label[take].astype(np.float32))
             step += 1
