@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from attestry.llm.common import Batches, Memo, texts_of
 
 #: Chunks and words that a worker remembers (see Memo); longer ones are encoded afresh.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 #: Longer fragments wait in a heap for their merges, shorter ones in a list.
 LONGEST_LISTED = 64
 NONE = 1 << 30
