@@ -108,6 +108,35 @@ def test_repeated_passages(spark):
     assert substrings.repeated_passages(df.limit(0)).count() == 0
 
 
+def slow_good(a, b, t, least):
+    """Starts of runs of a of which least tokens are in one stretch of b."""
+    reach = int(t / substrings.SIMILARITY + 8) + 1
+    stretches = [set(b[j : j + reach]) for j in range(len(b))]
+    return [i for i in range(len(a) - t + 1) if any(sum(x in s for x in a[i : i + t]) >= least for s in stretches)]
+
+
+def test_sources_that_repeat_part_of_a_passage(monkeypatch):
+    rng = random.Random(11)
+    passage = words(rng, 52).split()
+    body = lambda n: words(rng, n).split()
+    edited = passage[:10] + ["x"] + passage[11:30] + ["y"] + passage[31:]
+    sources = [passage[20:27] + body(200) + passage, edited + body(300) + passage + body(9), body(5) + passage[:30] + body(150) + passage[10:] + body(150) + passage]
+    hashes = lambda w: substrings.shingle_hashes(" ".join(w), 5)
+    for b in sources:
+        assert substrings.passages_within(hashes(body(70) + passage + body(70)), hashes(b), 46) == [(70, 118)]
+    for at_once in (50, 1 << 21):
+        monkeypatch.setattr(substrings, "AT_ONCE", at_once)
+        for n in (3, 20, 60, 200):
+            t, least = 12, substrings.enough(12, 0.8)
+            a, b = (np.array([rng.randrange(n) for _ in range(80)], np.uint64) for _ in range(2))
+            b[50:70], a[30:50] = a[10:30], a[5:25]
+            order = np.argsort(b, kind="stable")
+            at = order[np.minimum(np.searchsorted(b[order], a), len(b) - 1)]
+            starts = np.flatnonzero(np.convolve(b[at] == a, np.ones(t, int), "valid") >= least)
+            got = starts[substrings._near(a, b, order, at, b[at] == a, starts, t, least)].tolist()
+            assert got == slow_good(a.tolist(), b.tolist(), t, least)
+
+
 def test_repeated_ids_are_not_repeats(spark):
     rng = random.Random(8)
     t, u = words(rng, 90), words(rng, 90)
