@@ -137,6 +137,21 @@ def test_sources_that_repeat_part_of_a_passage(monkeypatch):
             assert got == slow_good(a.tolist(), b.tolist(), t, least)
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_a_similar_document_hides_no_repeat(spark, parts):
+    rng = random.Random(12)
+    body = lambda n: words(rng, n).split()
+    rows = []
+    for i in range(40):
+        passage = body(55)
+        similar = passage[:18] + ["x"] + passage[19:36] + ["y"] + passage[37:]
+        rows += [(k * 1000 + i, " ".join(body(30) + w + body(30))) for k, w in ((1, similar), (2, passage), (3, passage))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    got = {(r.doc_id, r.source_id): (r.first_word, r.end_word) for r in substrings.repeated_passages(df).collect()}
+    assert got == {(3000 + i, 2000 + i): (30, 85) for i in range(40)}
+
+
 def test_repeated_ids_are_not_repeats(spark):
     rng = random.Random(8)
     t, u = words(rng, 90), words(rng, 90)
