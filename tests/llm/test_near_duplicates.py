@@ -152,6 +152,15 @@ def test_a_similar_document_hides_no_repeat(spark, parts):
     assert got == {(3000 + i, 2000 + i): (30, 85) for i in range(40)}
 
 
+def test_passages_as_similar_as_required_meet():
+    rng = np.random.default_rng(13)
+    missed = 0
+    for _ in range(3000):
+        x = rng.integers(0, 1 << 63, 51).astype(np.uint64)  # 41 of 46 are common: a similarity of 0.8
+        missed += sum(substrings.orders(x[:46], k).min() == substrings.orders(x[5:], k).min() for k in range(substrings.HASHES)) < 2
+    assert missed / 3000 < 0.005
+
+
 def test_repeated_ids_are_not_repeats(spark):
     rng = random.Random(8)
     t, u = words(rng, 90), words(rng, 90)
