@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A text is its words (what stands between spaces, line ends and tabs) with
+A text is its lower-cased words (what stands between ASCII white space) with
 their counts as weights; a text without a word has the empty word. For each of the fingerprint's
 samples, a term draws r and c from Gamma(2, 1) and b from [0, 1), all from a
 hash of the term and the sample's number. With
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from attestry.llm.common import stage
 
 #: Samples in a fingerprint, a multiple of BLOCK.
-SAMPLES = 24
+SAMPLES = 32
 #: Samples that one row of a term draws. More would make the generated method
 #: longer than what the JVM compiles.
 BLOCK = 8
@@ -72,8 +72,9 @@ def sample(term: Column, ln_weight: Column, k: Column) -> Column:
 
 
 def spaced(text: Column) -> Column:
-    """The text with a space for each line feed, carriage return and tab: single characters split fast."""
-    for c in "\n\r\t":
+    """The lower-cased text with a space for each other ASCII white space: single characters split fast."""
+    text = F.lower(text)
+    for c in "\n\r\t\v\f":
         text = F.replace(text, F.lit(c), F.lit(" "))
     return text
 
