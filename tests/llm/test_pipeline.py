@@ -30,3 +30,26 @@ def test_queries_are_registered(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
     got = e.queries()["op10_warc"](spark, str(SF))
     assert got.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+def test_near_duplicate_stage_takes_documents_of_a_similarity_of_08(spark):
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(21)
+    draw = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows = [(None, "x y z"), (None, "x y z"), (900, None), (901, "")]
+    for i in range(60):
+        base = draw(300)
+        near, far = list(base), list(base)
+        for at in range(5, 300, 60):
+            near[at] = "changed"  # 25 of 296 shingles: a similarity of 0.84
+        for at in range(5, 300, 25):
+            far[at] = "other"  # 60 of 296: 0.66
+        rows += [(i, " ".join(base)), (100 + i, " ".join(near)), (200 + i, " ".join(far)), (300 + i, " ".join(base).upper())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = p.near_duplicate_stage(spark, df, "")
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    assert got == sorted([(True, 0)] * 2 + [(False, i) for i in [*range(60), *range(200, 260), 900]])
+    assert p.near_duplicate_stage(spark, df.limit(0), "").count() == 0
