@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -40,10 +41,29 @@ def test_encode_gives_ids_and_text(spark):
 
 
 def test_cuts_hold_no_token():
-    vocabulary = bpe.ForcedBoundaryBpe(WORD_BPE)
-    pieces = vocabulary.fragments("qjxzqvwkxj")
-    assert len(pieces) > 1 and "".join(pieces) == "qjxzqvwkxj"
-    assert not any(a[-1] + b[0] in t for a, b in zip(pieces, pieces[1:]) for t in vocabulary.vocab)
+    vocabulary, word = bpe.load(WORD_BPE), b"qjxzqvwkxj"
+    ids, offsets, of_word, first = vocabulary.fragments(pa.array([b"abc", word], pa.binary()))
+    cuts = (offsets[first[1] :] - 3).tolist()
+    assert len(cuts) > 2 and cuts[-1] == len(word) and (of_word[first[1] :] == 1).all()
+    tokens = vocabulary.tokens.to_pylist()
+    assert not any(word[i - 1 : i + 1].decode() in t for i in cuts[1:-1] for t in tokens)
+
+
+def test_long_fragments_merge_alike(monkeypatch):
+    library, rng = Tokenizer.from_file(WORD_BPE), random.Random(3)
+    some = ["".join(rng.choice("aeinst!-") for _ in range(rng.randint(1, 90))) for _ in range(200)] + [None, "", "a" * 300]
+    for longest in (1, 2, 7, 64):
+        monkeypatch.setattr(bpe, "LONGEST_TOGETHER", longest)
+        ids, offsets = bpe.load(WORD_BPE).encode(pa.array(some))
+        assert [ids[s:e].tolist() for s, e in zip(offsets, offsets[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
+def test_decoding_in_blocks(monkeypatch):
+    monkeypatch.setattr(bpe, "DECODED_AT_ONCE", 3)
+    library, some = Tokenizer.from_file(WORD_BPE), ["a b c d e f g", "", "x", None, "one two", "three four five", ""]
+    vocabulary = bpe.load(WORD_BPE)
+    got = [t for _, texts in vocabulary.decode(*vocabulary.encode(pa.array(some))) for t in texts]
+    assert got == [library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for t in some]
 
 
 def test_counts_are_the_library(spark):
