@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from attestry.llm.common import Batches
+from attestry.llm.common import Batches, mapped
 
 #: Fragments of more symbols wait in a heap for their merges, one at a time.
 LONGEST_TOGETHER = 64
@@ -308,7 +308,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [lists, pa.array(decoded, pa.string())], names=[*keep, "ids", "decoded"])
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    return mapped(docs.select(*dict.fromkeys([*keep, text_col])), run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -328,4 +328,4 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", id_col: str =
             of_text = [hashlib.sha256(t.encode()).hexdigest() for _, texts in bpe.decode(ids, offsets) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(np.diff(offsets)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return mapped(docs.select(id_col, text_col), run, schema)

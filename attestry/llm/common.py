@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,15 +16,17 @@ from pyspark.sql import functions as F
 #: A word is a run of code points other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch. Rows are whole documents, so the default of 10,000
-#: would let a few very long texts fill a Python worker.
-BATCH_ROWS = 1000
+#: Rows in one Arrow batch, and bytes of text after which it ends: rows are
+#: whole documents, so 10,000 of them could fill a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Tables up to so many bytes are sent to all executors.
+BROADCAST_BYTES = 32 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Set what every operator here relies on."""
+    """Set the size of Arrow batches, which Spark takes from the session only."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -34,23 +37,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in spark.checkpoint.dir; only where that is unset, as
-    in tests, a local temporary folder takes its place.
+    A cluster names it in spark.checkpoint.dir. Only where that is unset and
+    all runs in one process, as in tests, a local temporary folder takes its
+    place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="attestry-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(own)
     return sc.getCheckpointDir().rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The JVM's path and its file system, whichever store Spark can reach."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, for one call of one operator."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which is deleted when the application ends."""
+    own = f"{shared_dir(spark)}/attestry-{spark.sparkContext.applicationId}"
+    at, files = _file_system(spark, own)
+    if not files.exists(at):
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -61,7 +79,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for t in tables:
+        at, files = _file_system(t.sparkSession, t._staged_at)
+        files.delete(at, True)
+
+
+def broadcast_if_small(staged: DataFrame, row_bytes: Column | int = 16) -> DataFrame:
+    """A staged table, sent to all executors if its rows add up to BROADCAST_BYTES at most; else joined by exchange."""
+    total = staged.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(staged) if total <= BROADCAST_BYTES else staged.hint("merge")
 
 
 def text_column(df: DataFrame, text_col: str = "text") -> Column:
@@ -85,6 +118,24 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 Batches = Iterator[pa.RecordBatch]
 
 
+def _give_back() -> None:
+    """Return to the system what a worker's task has freed: workers stay, and an executor's memory is counted with them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, function: Callable[[Batches], Batches], schema) -> DataFrame:
+    """df.mapInArrow(function, schema), whose workers keep no memory after a task."""
+
+    def run(batches: Batches) -> Batches:
+        yield from function(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 class Memo(dict):
     """What a worker remembers of its last `limit` to twice as many different keys.
 

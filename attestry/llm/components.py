@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import stage
+from attestry.llm.common import stage, unstage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,7 +21,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = stage(_downwards(links), "links")
     seen = _state(edges)
     while seen[0]:
-        edges = stage(_small_star(_large_star(edges)), "links")
+        bent = stage(_small_star(_large_star(edges)), "links")
+        unstage(edges)
+        edges = bent
         if (now := _state(edges)) == seen:
             break
         seen = now

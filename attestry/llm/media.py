@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from attestry.llm.common import Batches, fresh_path, texts_of
+from attestry.llm.common import Batches, fresh_path, mapped, texts_of
 
 #: Samples in a line of the picture; payloads are padded to a multiple of it.
 ROW = 64
@@ -142,7 +142,7 @@ def write_shards(docs: DataFrame, root: str, text_col: str = "text", id_col: str
                 out.write(bytes(2 * BLOCK))
                 out.close()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return mapped(docs.select(id_col, text_col), run, schema)
 
 
 def read_metadata(index: DataFrame, root: str) -> DataFrame:
@@ -159,7 +159,7 @@ def read_metadata(index: DataFrame, root: str) -> DataFrame:
             got.sort()
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([g[k] for g in got], pa.int32()) for k in (1, 2, 3))], names=schema.names)
 
-    return index.mapInArrow(run, schema)
+    return mapped(index, run, schema)
 
 
 def _by_shard(b: pa.RecordBatch) -> dict[str, list[tuple[int, int, int]]]:
@@ -201,7 +201,7 @@ def read_back(index: DataFrame, root: str, id_col: str = "doc_id") -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("n_bytes"), *(pa.array([r[1][k] for r in rows], t) for k, t in enumerate(kinds))], names=schema.names)
 
-    return index.select(id_col, "digest", "shard", "offset", "length", "n_bytes").mapInArrow(run, schema)
+    return mapped(index.select(id_col, "digest", "shard", "offset", "length", "n_bytes"), run, schema)
 
 
 def store_and_read(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

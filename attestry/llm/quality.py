@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.llm.common import Batches, texts_of
+from attestry.llm.common import Batches, mapped, texts_of
 
 PASSAGE = 64
 HIDDEN = 24
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_
                 got.append(features(parts).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.int64()), b.column("_label"), pa.array(got, pa.binary())], names=["id", "label", "bag"])
 
-    got = sorted(rows.mapInArrow(run, "id bigint, label int, bag binary").limit(2 * train_docs).collect(), key=lambda r: (r["id"], r["bag"]))
+    got = sorted(mapped(rows, run, "id bigint, label int, bag binary").limit(2 * train_docs).collect(), key=lambda r: (r["id"], r["bag"]))
     return fit([np.frombuffer(r["bag"], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in got], np.array([r["label"] for r in got], np.float32))
 
 
@@ -192,4 +192,4 @@ def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "t
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores(sent.value, texts_of(b, text_col)), pa.float64())], names=schema.names)
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    return mapped(docs.select(*dict.fromkeys([*keep, text_col])), run, schema)

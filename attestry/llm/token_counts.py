@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from attestry.llm.common import Batches, Memo, texts_of
+from attestry.llm.common import Batches, Memo, mapped, texts_of
 
 SPACE = "▁"
 #: Chunks that a worker remembers (see Memo).
@@ -92,4 +92,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text_col: str =
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return mapped(docs.select(id_col, text_col), run, schema)

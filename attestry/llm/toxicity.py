@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.llm.common import Batches, Memo, stage, texts_of
+from attestry.llm.common import Batches, Memo, mapped, stage, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are terms; they end in a hyphen.
@@ -119,7 +119,7 @@ def _terms(docs: DataFrame) -> DataFrame:
                 names=["id", "positive", "words", "counts", "n_words"],
             )
 
-    return docs.mapInArrow(run, "id bigint, positive boolean, words array<string>, counts array<int>, n_words int")
+    return mapped(docs, run, "id bigint, positive boolean, words array<string>, counts array<int>, n_words int")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id") -> Model:
@@ -176,4 +176,4 @@ def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "t
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([of(t) for t in texts_of(b, text_col)], pa.float64())], names=schema.names)
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    return mapped(docs.select(*dict.fromkeys([*keep, text_col])), run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.llm.common import BATCH_ROWS, Batches, fresh_path, stage
+from attestry.llm.common import BATCH_ROWS, Batches, fresh_path, mapped, stage
 
 #: Payloads of fewer bytes never revisit others.
 LEAST_REVISIT = 1000
@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id") -> None
             for at in range(0, len(out), BATCH_ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(out[at : at + BATCH_ROWS], pa.binary())], names=["record"])
 
-    made = plan(pages, id_col).mapInArrow(run, "record binary")
+    made = mapped(plan(pages, id_col), run, "record binary")
     made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -188,8 +188,8 @@ def read_parts(spark, path: str, with_payload: bool = True) -> DataFrame:
     Without payloads, a record in one piece is decoded, verified and measured
     here, and its block goes no further.
 
-    A file is read whole; FILE_RECORDS and SEGMENT bound it. One file makes
-    one Arrow batch.
+    A file is read whole; FILE_RECORDS and SEGMENT bound it, and the session's
+    bytes of an Arrow batch bound how many come at once.
     """
     schema = T._parse_datatype_string(PART)
 
@@ -217,7 +217,7 @@ def read_parts(spark, path: str, with_payload: bool = True) -> DataFrame:
                 yield _batch(rows, schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, schema)
+    return mapped(files.select("content"), run, schema)
 
 
 def reassemble(parts: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -245,7 +245,7 @@ def reassemble(parts: DataFrame, with_payload: bool = True) -> DataFrame:
         r = rows[0]
         return pa.Table.from_batches([_batch([_finish(r["record_type"], r["page_id"], r["refers_to"], r["declared"], r["url"], block)[:width]], schema)])
 
-    alone = parts.where(F.col("segment").isNull()).mapInArrow(whole, schema)
+    alone = mapped(parts.where(F.col("segment").isNull()), whole, schema)
     return alone.unionByName(parts.where(F.col("segment").isNotNull()).groupBy("record_id").applyInArrow(joined, schema))
 
 
@@ -258,10 +258,5 @@ def archive_and_read(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_archives(pages, path, id_col)
-    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # one file at a time
-    try:
-        parts = stage(read_parts(spark, path, with_payload=False), "warc-parts")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    parts = stage(read_parts(spark, path, with_payload=False), "warc-parts")
     return reassemble(parts, with_payload=False)

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from attestry.llm import components, simhash, substrings, weighted_sampling
+from pyspark.sql import functions as F
+
+from attestry.llm import common, components, shingles, simhash, substrings, weighted_sampling
 
 
 def words(rng, n):
@@ -75,16 +77,45 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(near_docs(spark).limit(0)).count() == 0
 
 
-def test_compact_windows_hold_every_run():
-    rng = np.random.default_rng(1)
-    for h in (rng.integers(0, 1000, 60).astype(np.uint64), np.zeros(60, np.uint64), np.arange(60, dtype=np.uint64), rng.integers(0, 4, 60).astype(np.uint64)):
-        t = 10
-        windows = substrings.compact_windows(h, t)
-        for i in range(60):
-            for j in range(i + t - 1, 60):
-                least = h[i : j + 1].min()
-                assert any(left <= i and j <= right and h[c] == least for left, c, right in windows)
-    assert len(substrings.compact_windows(np.zeros(100_000, np.uint64), 10)) == 1
+def tree(h, left, right, t):
+    """The nodes (l, c, r) of the Cartesian tree with at least t places, one by one."""
+    if right - left + 1 < t:
+        return []
+    c = min(range(left, right + 1), key=lambda i: (h[i], i))
+    return [(left, c, right), *tree(h, left, c - 1, t), *tree(h, c + 1, right, t)]
+
+
+def test_compact_windows_are_those_of_the_cartesian_tree():
+    rng, t = np.random.default_rng(1), 10
+    for values in (rng.integers(0, 1 << 63, 60), rng.permutation(60), np.arange(60)):
+        docs = [values[:25], values[:0], values[25:30], values[25:], values[3:13]]
+        offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+        starts, row = substrings.run_starts(offsets, t)
+        h = np.concatenate(docs).astype(np.uint64)
+        key, a, z = substrings.compact_windows(h, starts, row, t)
+        got = {(int(row[i]), int(k), int(starts[i] - offsets[row[i]]), int(starts[j] - offsets[row[j]])) for k, i, j in zip(key, a, z)}
+        assert got == {(n, int(d[c]), max(left, c - t + 1), min(c, right - t + 1)) for n, d in enumerate(docs) for left, c, right in tree(d.tolist(), 0, len(d) - 1, t)}
+
+
+def test_equal_least_tokens_have_one_window():
+    rng, t = np.random.default_rng(2), 10
+    for h in (np.zeros(500, np.uint64), rng.integers(0, 4, 300).astype(np.uint64)):
+        starts, row = substrings.run_starts(np.array([0, len(h)]), t)
+        key, a, z = substrings.compact_windows(h, starts, row, t)
+        assert a[0] == 0 and z[-1] == len(starts) - 1 and (a[1:] == z[:-1] + 1).all() and (key[1:] != key[:-1]).all()
+        assert all(h[i : i + t].min() == k for k, s, e in zip(key, a, z) for i in range(s, e + 1))
+
+
+@pytest.mark.parametrize("text", ["", " \n", "one", "a b c d e", " A b\tC \x0bd\x0c e\rf  É é ", "x " * 30])
+def test_tokens_are_those_of_words(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text)
+    for c in "\t\n\r\x0b\x0c":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    got, offsets = shingles.tokens_of(["q w e r t y", text, ""], 5)
+    assert np.diff(offsets).tolist() == [2, max(0, len(words) - 4), 0]
+    alone = [shingles.tokens_of([" ".join(words[i : i + 5])], 5)[0].tolist() for i in range(max(0, len(words) - 4))]
+    assert [[x] for x in got[2:].tolist()] == alone
 
 
 def test_repeated_passages(spark):
@@ -121,7 +152,7 @@ def test_sources_that_repeat_part_of_a_passage(monkeypatch):
     body = lambda n: words(rng, n).split()
     edited = passage[:10] + ["x"] + passage[11:30] + ["y"] + passage[31:]
     sources = [passage[20:27] + body(200) + passage, edited + body(300) + passage + body(9), body(5) + passage[:30] + body(150) + passage[10:] + body(150) + passage]
-    hashes = lambda w: substrings.shingle_hashes(" ".join(w), 5)
+    hashes = lambda w: shingles.tokens_of([" ".join(w)], 5)[0]
     for b in sources:
         assert substrings.passages_within(hashes(body(70) + passage + body(70)), hashes(b), 46) == [(70, 118)]
     for at_once in (50, 1 << 21):
@@ -152,6 +183,82 @@ def test_a_similar_document_hides_no_repeat(spark, parts):
     assert got == {(3000 + i, 2000 + i): (30, 85) for i in range(40)}
 
 
+@pytest.fixture(scope="module")
+def corpus():
+    """Documents with common passages of 50 words or more, some edited, and what a comparison of all pairs of runs finds."""
+    rng = random.Random(14)
+    passages = [words(rng, rng.randint(50, 90)).split() for _ in range(12)]
+    texts = {}
+    for i in range(90):
+        w = words(rng, rng.randint(0, 60)).split()
+        for p in rng.sample(passages, rng.choice([0, 0, 1, 1, 2])):
+            p = list(p)
+            for at in rng.sample(range(len(p)), rng.choice([0, 0, 0, 1, 2])):
+                p[at] = "edited"
+            cut = rng.choice([0, 0, 0, 30])
+            w += p[cut:] + words(rng, rng.randint(5, 60)).split()
+        texts[10 * i] = " ".join(w)
+    t, least = 46, substrings.enough(46, 0.8)
+    tokens = {i: shingles.tokens_of([x], 5)[0].tolist() for i, x in texts.items()}
+    good = {i: set() for i in texts}
+    for i, a in tokens.items():
+        for j, b in tokens.items():
+            if j < i and len(set(a) & set(b)) >= least:
+                good[i].update(slow_good(a, b, t, least))
+    return texts, good
+
+
+def covered(rows):
+    got = collections.defaultdict(set)
+    for r in rows:
+        got[r.doc_id].update(range(r.first_word, r.end_word))
+    return got
+
+
+@pytest.mark.parametrize("parts", [1, 3, 11])
+def test_passages_of_all_pairs(spark, corpus, parts):
+    texts, good = corpus
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(parts)
+    got = covered(substrings.repeated_passages(df).collect())
+    runs = [(i, s) for i, starts in good.items() for s in starts]
+    # The ends of a run that have no counterpart are left out, so its middle tells.
+    found = sum(set(range(s + 10, s + 40)) <= got[i] for i, s in runs)
+    assert len(runs) > 100 and found >= 0.97 * len(runs)
+    assert all(good[i] for i, spans in got.items() if spans)
+
+
+def test_what_is_found_does_not_depend_on_partitions(spark, corpus):
+    df = spark.createDataFrame(list(corpus[0].items()), "doc_id bigint, text string")
+    runs = [sorted(map(tuple, substrings.repeated_passages(df.repartition(n)).collect())) for n in (1, 3, 11)]
+    assert runs[0] and runs[0] == runs[1] == runs[2]
+
+
+def test_joins_by_exchange_give_the_same(spark, corpus, monkeypatch):
+    df = spark.createDataFrame(list(corpus[0].items()), "doc_id bigint, text string")
+    want = sorted(map(tuple, substrings.repeated_passages(df).collect())), sorted(map(tuple, substrings.drop_repeats(df).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert want == (sorted(map(tuple, substrings.repeated_passages(df).collect())), sorted(map(tuple, substrings.drop_repeats(df).collect())))
+
+
+def test_a_passage_that_begins_twice_in_its_source(spark):
+    rng = random.Random(16)
+    passage = words(rng, 70).split()
+    rows = [(1, " ".join(passage[:35] + words(rng, 300).split() + passage)), (2, " ".join(words(rng, 40).split() + passage + words(rng, 40).split()))]
+    assert [tuple(r) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [(2, 40, 110, 1)]
+
+
+def test_passages_in_odd_tables(spark):
+    rng = random.Random(15)
+    passage, long = words(rng, 80), words(rng, 60_000)
+    rows = [(1, passage, 1, "a"), (2, long + " " + passage, 2, "b"), (3, None, 3, "c"), (4, "", 4, "d"), (None, passage, 5, "e"), (5, passage, 6, "f"), (5, passage, 6, "f")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, spans int, Span_ID string")
+    got = covered(substrings.repeated_passages(df.withColumn("key", F.lit(1)).withColumn("source", F.lit("s"))).collect())
+    assert got == {2: set(range(60_000, 60_080)), 5: set(range(80))}
+    kept = substrings.drop_repeats(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.spans, r.Span_ID, len(r.text or "")) for r in kept.collect()) == [(0, 5, "e", 479), (1, 1, "a", 479), (2, 2, "b", 360_000), (3, 3, "c", 0), (4, 4, "d", 0)]
+    assert substrings.drop_repeats(df.limit(0)).count() == 0
+
+
 def test_passages_as_similar_as_required_meet():
     rng = np.random.default_rng(13)
     missed = 0
