@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timezone
+from email.utils import parsedate_to_datetime
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.functions import vocab
 
@@ -35,11 +40,31 @@ def cookie_date(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(rest, F.lit("dd MMM yyyy HH:mm:ss z")), F.try_to_timestamp(rest, F.lit("dd-MMM-yyyy HH:mm:ss z")), F.try_to_timestamp(rest, F.lit("d MMM yyyy HH:mm:ss z")))
 
 
-def header_lifetime_days(attributes: Column, started: Column, as_of: Column | None = None) -> Column:
-    """Days that a header's cookie lives: Max-Age if it is there, readable or not, else Expires."""
+@F.pandas_udf(T.TimestampType())
+def odd_date(text: pd.Series) -> pd.Series:
+    """Dates as mail headers write them, in UTC where no zone is given; null is passed over."""
+
+    def of(x):
+        try:
+            at = parsedate_to_datetime(x)
+            return at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at.astimezone(timezone.utc)
+        except (TypeError, ValueError, OverflowError):
+            return None
+
+    return pd.Series(pd.to_datetime([None if x is None else of(x) for x in text], utc=True, errors="coerce"), index=text.index)
+
+
+def cookie_expires(text: Column) -> Column:
+    """cookie_date, and what only the mail parser reads; it is handed no date that is read already."""
+    known = cookie_date(text)
+    return F.coalesce(known, odd_date(F.when(known.isNull(), text)))
+
+
+def header_lifetime_days(attributes: Column, started: Column, as_of: Column | None = None, odd_dates: bool = False) -> Column:
+    """Days that a header's cookie lives: Max-Age if it is there, readable or not, else Expires, with odd dates if asked for."""
     begin = started if as_of is None else F.coalesce(started, as_of)
     age = F.try_element_at(attributes, F.lit("max-age"))
-    until = F.unix_micros(cookie_date(F.try_element_at(attributes, F.lit("expires"))))
+    until = F.unix_micros((cookie_expires if odd_dates else cookie_date)(F.try_element_at(attributes, F.lit("expires"))))
     return F.when(F.map_contains_key(attributes, "max-age"), age.try_cast("bigint") / DAY).otherwise((until - F.unix_micros(begin)) / 1e6 / DAY)
 
 

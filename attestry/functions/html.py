@@ -10,7 +10,12 @@ from pyspark.sql import types as T
 
 NOISE = {"script", "style", "noscript", "svg", "iframe", "template"}
 CHROME = {"nav", "header", "footer", "form"}
+#: What markdown leaves out if it is short.
+MARKDOWN_CHROME = {"nav", "header", "footer", "aside"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: A start tag ends these, if they are still open.
+_AFTER_P = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "div", "section", "article", "blockquote", "pre", "form", "hr", "nav", "header", "footer", "main", "aside")
+ENDED_BY = {**{t: {"p"} for t in _AFTER_P}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 HEADINGS = {f"h{i}": "#" * i for i in range(1, 7)}
 SHORT_CHROME = 1000
 LINK_TEXT = 120
@@ -22,8 +27,28 @@ class _Node:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
+    def pieces(self, skip: frozenset[str] = frozenset()):
+        """The texts below the node in order, without those in tags to skip. Pages nest deeper than Python's calls may."""
+        stack = list(reversed(self.children))
+        while stack:
+            c = stack.pop()
+            if isinstance(c, str):
+                yield c
+            elif c.tag not in skip:
+                stack.extend(reversed(c.children))
+
     def text(self) -> str:
-        return " ".join(" ".join(c if isinstance(c, str) else c.text() for c in self.children).split())
+        return " ".join(w for p in self.pieces() for w in p.split())
+
+    def is_longer(self, than: int) -> bool:
+        """Whether the text has at least so many characters; no more of it is read."""
+        n = -1
+        for p in self.pieces():
+            for w in p.split():
+                n += len(w) + 1
+                if n >= than:
+                    return True
+        return False
 
 
 class _Tree(HTMLParser):
@@ -36,7 +61,7 @@ class _Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         node = _Node(tag, {k: v or "" for k, v in attrs})
-        if tag in ("p", "li", "tr", "td", "th") and self.open[-1].tag == tag:
+        while self.open[-1].tag in ENDED_BY.get(tag, ()):
             self.open.pop()
         self.open[-1].children.append(node)
         if tag not in VOID:
@@ -62,17 +87,9 @@ def tree(html: str | None) -> _Node:
     return parser.root
 
 
-def _walk(node: _Node, skip: set[str]):
-    for c in node.children:
-        if isinstance(c, str):
-            yield c
-        elif c.tag not in skip:
-            yield from _walk(c, skip)
-
-
 def text_of(html: str | None) -> str:
     """The pieces of text outside scripts, forms and page furniture, a line each."""
-    return "\n".join(x for x in (" ".join(p.split()) for p in _walk(tree(html), NOISE | CHROME)) if x)
+    return "\n".join(x for x in (" ".join(p.split()) for p in tree(html).pieces(frozenset(NOISE | CHROME))) if x)
 
 
 def links_of(html: str | None) -> list[dict[str, str]]:
@@ -85,7 +102,20 @@ def links_of(html: str | None) -> list[dict[str, str]]:
     return out
 
 
-def _inline(node: _Node) -> str:
+def _called(step):
+    """The value of a generator that yields generators as calls and is sent their values: recursion on the heap."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def _inline(node: _Node):
     out = []
     for c in node.children:
         if isinstance(c, str):
@@ -93,7 +123,7 @@ def _inline(node: _Node) -> str:
             continue
         if c.tag in NOISE:
             continue
-        inner = " ".join(_inline(c).split())
+        inner = " ".join((yield _inline(c)).split())
         if c.tag in ("b", "strong") and inner:
             inner = f"**{inner}**"
         elif c.tag in ("i", "em") and inner:
@@ -106,7 +136,36 @@ def _inline(node: _Node) -> str:
     return " ".join(x for x in out if x)
 
 
-def _blocks(node: _Node) -> list[str]:
+def _line(node: _Node):
+    return " ".join((yield _inline(node)).split())
+
+
+def _list(node: _Node):
+    out = []
+    for x in node.children:
+        if isinstance(x, _Node) and x.tag == "li":
+            out.append((f"{len(out) + 1}. " if node.tag == "ol" else "- ") + (yield _line(x)))
+    return "\n".join(out)
+
+
+def _table(node: _Node):
+    rows, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if n.tag == "tr":
+            cells = []
+            for x in n.children:
+                if isinstance(x, _Node) and x.tag in ("td", "th"):
+                    cells.append((yield _line(x)))
+            rows.append("| " + " | ".join(cells) + " |")
+            if len(rows) == 1:
+                rows.append("|" + " --- |" * len(cells))
+        else:
+            stack += [x for x in reversed(n.children) if isinstance(x, _Node)]
+    return "\n".join(rows)
+
+
+def _blocks(node: _Node):
     out: list[str] = []
     loose: list[str] = []
 
@@ -121,33 +180,25 @@ def _blocks(node: _Node) -> list[str]:
             loose.append(c)
         elif c.tag in NOISE or c.tag in ("title", "head"):
             continue
-        elif c.tag in CHROME | {"aside"} and len(c.text()) < SHORT_CHROME:
+        elif c.tag in MARKDOWN_CHROME and not c.is_longer(SHORT_CHROME):
             continue
         elif c.tag in HEADINGS:
             flush()
-            out.append(f"{HEADINGS[c.tag]} {' '.join(_inline(c).split())}")
+            out.append(f"{HEADINGS[c.tag]} {(yield _line(c))}")
         elif c.tag in ("ul", "ol"):
             flush()
-            items = [x for x in c.children if isinstance(x, _Node) and x.tag == "li"]
-            out.append("\n".join((f"{i}. " if c.tag == "ol" else "- ") + " ".join(_inline(x).split()) for i, x in enumerate(items, 1)))
+            out.append((yield _list(c)))
         elif c.tag == "table":
             flush()
-            rows, stack = [], [c]
-            while stack:
-                n = stack.pop()
-                if n.tag == "tr":
-                    rows.append([" ".join(_inline(x).split()) for x in n.children if isinstance(x, _Node) and x.tag in ("td", "th")])
-                else:
-                    stack += [x for x in reversed(n.children) if isinstance(x, _Node)]
-            if rows:
-                out.append("\n".join(["| " + " | ".join(rows[0]) + " |", "|" + " --- |" * len(rows[0]), *("| " + " | ".join(r) + " |" for r in rows[1:])]))
+            if table := (yield _table(c)):
+                out.append(table)
         elif c.tag in ("b", "strong", "i", "em", "a", "span", "br", "code", "small"):
             wrap = _Node("", {})
             wrap.children = [c]
-            loose.append(_inline(wrap))
+            loose.append((yield _inline(wrap)))
         else:
             flush()
-            out += _blocks(c)
+            out += yield _blocks(c)
     flush()
     return [b for b in out if b.strip("#- \n")]
 
@@ -165,7 +216,20 @@ def _find(node: _Node, tag: str) -> _Node | None:
 def markdown_of(html: str | None) -> str:
     """The main part, else the article, else the body, as markdown blocks."""
     root = tree(html)
-    return "\n\n".join(_blocks(_find(root, "main") or _find(root, "article") or _find(root, "body") or root))
+    return "\n\n".join(_called(_blocks(_find(root, "main") or _find(root, "article") or _find(root, "body") or root)))
+
+
+def meta_of(html: str | None) -> list[dict[str, str]]:
+    """The named meta tags of a page: by name, property or http-equiv, the first that is there."""
+    out, stack = [], [tree(html)]
+    while stack:
+        node = stack.pop()
+        if node.tag == "meta":
+            name = next((node.attrs[k] for k in ("name", "property", "http-equiv") if node.attrs.get(k)), "")
+            if name and node.attrs.get("content"):
+                out.append({"name": name, "content": node.attrs["content"]})
+        stack += [c for c in reversed(node.children) if isinstance(c, _Node)]
+    return out
 
 
 def section_of(html: str | None, fragment: str | None) -> str:
@@ -208,3 +272,8 @@ def html_links(html: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def html_section(html: pd.Series, fragment: pd.Series) -> pd.Series:
     return pd.Series([section_of(h, f) for h, f in zip(html, fragment)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.StringType())])))
+def html_meta(html: pd.Series) -> pd.Series:
+    return html.map(meta_of)

@@ -50,19 +50,28 @@ def fix_html_breaks(text: Column) -> Column:
     return F.regexp_replace(t, r"(?<!\n)\s*\b(Article|Regulation)\s+(\d+[A-Za-z]?)\s*\n", "\n\n$1 $2\n")
 
 
+def bare_quote(quote: Column) -> Column:
+    """The normalised quote without the quotation marks around it."""
+    return F.trim(F.btrim(norm(quote), F.lit("\"'")))
+
+
+def joined_quote(quote: Column) -> Column:
+    """The bare quote with a space for each ellipsis."""
+    spaced = F.replace(F.replace(bare_quote(quote), F.lit("..."), F.lit(" ")), F.lit("…"), F.lit(" "))
+    return F.trim(F.regexp_replace(spaced, r"\s+", " "))
+
+
 def quote_status(quote: Column, source: Column) -> Column:
     """struct(status, note) of what built-in functions can tell; status is null where a fuzzy comparison is due."""
-    s = norm(source)
-    bare = F.trim(F.btrim(norm(quote), F.lit("\"'")))
+    s, bare = norm(source), bare_quote(quote)
     pieces = F.filter(F.transform(F.split(bare, r"\.{3}|\[\.\.\.\]|…"), lambda x: F.btrim(x, F.lit(" ."))), lambda x: F.length(x) >= 12)
-    joined = F.trim(F.regexp_replace(F.replace(F.replace(bare, F.lit("..."), F.lit(" ")), F.lit("…"), F.lit(" ")), r"\s+", " "))
     case = lambda status, note: F.struct(F.lit(status).cast("string").alias("status"), F.lit(note).cast("string").alias("note"))
     return (
         F.when(norm(quote) == "", case("N/A", "no quote given"))
         .when(s == "", case("UNSUPPORTED", "source text unavailable"))
         .when(F.length(bare) < 12, case("N/A", "quote too short to verify"))
         .when((F.size(pieces) > 1) & F.forall(pieces, lambda p: F.contains(s, p)), case("SUPPORTED", "verbatim (elided quote, all fragments found)"))
-        .when(F.contains(s, joined), case("SUPPORTED", "verbatim"))
+        .when(F.contains(s, joined_quote(quote)), case("SUPPORTED", "verbatim"))
         .otherwise(case(None, None))
     )
 
@@ -138,10 +147,15 @@ def cookie_section(markdown: Column, least_words: int = 150) -> Column:
 
 
 def dedupe_blocks(blocks: Column, least: int = 30, window: int = 3) -> Column:
-    """The blocks without those that one of the last kept ones equals or contains, on letters and digits alone."""
-    bare = lambda x: F.regexp_replace(F.lower(x), r"[^a-z0-9]", "")
-    seen = lambda acc, x: F.exists(F.slice(acc, F.greatest(F.lit(1), F.size(acc) - (window - 1)), F.lit(window)), lambda k: F.contains(bare(k), bare(x)))
-    return F.aggregate(blocks, F.array().cast("array<string>"), lambda acc, x: F.when((F.length(x) >= least) & seen(acc, x), acc).otherwise(F.array_append(acc, x)))
+    """The blocks without blank ones and those that one of the last kept ones equals or contains, on letters and digits of any script alone.
+
+    Blocks shorter than least always stay. Each block is stripped once.
+    """
+    stripped = F.filter(F.transform(blocks, lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
+    both = F.transform(stripped, lambda x: F.struct(x.alias("block"), F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", "").alias("bare")))
+    seen = lambda acc, x: F.exists(F.slice(acc, F.greatest(F.lit(1), F.size(acc) - (window - 1)), F.lit(window)), lambda k: F.contains(k["bare"], x["bare"]))
+    kept = F.aggregate(both, F.array().cast("array<struct<block:string,bare:string>>"), lambda acc, x: F.when((F.length(x["block"]) >= least) & seen(acc, x), acc).otherwise(F.array_append(acc, x)))
+    return F.transform(kept, lambda x: x["block"])
 
 
 def count_in(text: Column, part: str) -> Column:
@@ -174,4 +188,4 @@ def capped_list(items: Column, most: int) -> Column:
 def front_matter_body(text: Column) -> Column:
     """The text after a front matter between lines of three hyphens."""
     parts = F.split(text, "---", 3)
-    return F.when(F.startswith(text, F.lit("---")) & (F.size(parts) == 3), F.trim(F.get(parts, 2))).otherwise(text)
+    return F.when(F.startswith(text, F.lit("---")) & (F.size(parts) == 3), F.btrim(F.get(parts, 2), F.lit(" \t\r\n"))).otherwise(text)

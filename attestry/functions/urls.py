@@ -58,11 +58,12 @@ def is_third_party(host: Column, first_party: Column) -> Column:
 
 
 def is_trusted(primary: Column, candidate: Column, ecosystems: dict[str, list[str]] = vocab.ECOSYSTEMS) -> Column:
-    """Either root is within the other host, or both are of one ecosystem."""
-    a, b = root_domain(primary), root_domain(candidate)
-    group = F.create_map(*(x for k, v in ecosystems.items() for x in (F.lit(k), F.array(*map(F.lit, v))))) if ecosystems else None
-    kin = F.coalesce(F.array_contains(F.try_element_at(group, a), F.lower(candidate)) | F.array_contains(F.try_element_at(group, a), b), F.lit(False)) if ecosystems else F.lit(False)
-    return F.when((a == "") | (b == ""), F.lit(False)).otherwise(F.contains(a, b) | F.contains(b, a) | kin)
+    """Either whole host is within the other, or the candidate or its root is in the ecosystem of the primary host's root."""
+    a, b = F.lower(F.coalesce(primary, F.lit(""))), F.lower(F.coalesce(candidate, F.lit("")))
+    group = F.create_map(*(x for k, v in ecosystems.items() for x in (F.lit(k), F.array(*map(F.lit, v))))) if ecosystems else F.create_map().cast("map<string,array<string>>")
+    members = F.try_element_at(group, root_domain(a))
+    kin = F.coalesce(F.array_contains(members, b) | F.array_contains(members, root_domain(b)), F.lit(False))
+    return (b != "") & (F.contains(a, b) | F.contains(b, a) | kin)
 
 
 def score_url(url: Column, direct=vocab.DIRECT_URL_SIGNALS, weak=vocab.WEAK_URL_SIGNALS, ends=("/privacy", "/terms"), language=vocab.LANGUAGE_KEYWORDS, proximity: str = vocab.PROXIMITY) -> Column:

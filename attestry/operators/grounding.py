@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions import text as X
 from attestry.functions import vocab
 from attestry.functions.fuzzy import quote_ratio
+from attestry.operators.sizes import broadcast_if_small
 
 
 def host_suffixes(host: Column) -> Column:
@@ -23,6 +24,31 @@ def suffix_pairs(claims: DataFrame, known: DataFrame) -> DataFrame:
     return down.select("claim", "domain").unionByName(up.select("claim", "domain")).distinct()
 
 
+def containing(quotes: DataFrame, texts: DataFrame, quote_id: str = "quote_id", text_id: str = "text_id") -> DataFrame:
+    """(quote_id, text_id) where the text holds the quote, character by character, without a product of the two.
+
+    quotes: (quote_id, quote); texts: (text_id, text). A text that holds a
+    quote holds each of its words but the first and the last, which may go on
+    in the text. So the two meet at the quote's longest inner word, and only
+    what meets is compared. Quotes without an inner word have no such key:
+    they are compared with every text, in blocks. Null quotes are in nothing,
+    the empty quote is in every text; repeated rows count once.
+    """
+    words = F.split("quote", r"\s+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))
+    keyed = quotes.where(F.col("quote").isNotNull()).select(F.col(quote_id).alias("quote_id"), "quote", longest["word"].alias("word"))
+    named = texts.select(F.col(text_id).alias("text_id"), "text")
+    with_word = keyed.where("word IS NOT NULL")
+    of_text = named.select("text_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    met = of_text.join(broadcast_if_small(with_word, F.length("quote") * 2 + 64), "word")
+    short = keyed.where("word IS NULL").select("quote_id", "quote")
+    met = met.select("quote_id", "quote", "text_id", "text")
+    if not short.isEmpty():
+        met = met.unionByName(named.crossJoin(broadcast_if_small(short)).select("quote_id", "quote", "text_id", "text"))
+    return met.where(F.contains("text", F.col("quote"))).select("quote_id", "text_id").distinct()
+
+
 def citation_status(article: Column, regulation: Column, retrieved: Column) -> Column:
     """Whether the cited article (and regulation, if given) is among those retrieved."""
     base = X.article_base(article)
@@ -34,7 +60,7 @@ def quote_checks(rows: DataFrame, quote: str = "quote", source: str = "source")
     """Adds status, ratio and note. Only quotes that are not found verbatim reach the fuzzy function."""
     fast = rows.withColumn("_q", X.quote_status(F.col(quote), F.col(source)))
     done = fast.where(F.col("_q.status").isNotNull()).withColumns({"status": F.col("_q.status"), "ratio": F.when(F.col("_q.note") == "source text unavailable", 0.0).otherwise(1.0), "note": F.col("_q.note")})
-    ratio = quote_ratio(F.trim(F.btrim(X.norm(F.col(quote)), F.lit("\"'"))), X.norm(F.col(source)))
+    ratio = quote_ratio(X.joined_quote(F.col(quote)), X.norm(F.col(source)))
     slow = fast.where(F.col("_q.status").isNull()).withColumn("ratio", ratio)
     slow = slow.withColumn("status", F.when(F.col("ratio") >= vocab.FUZZY_ACCEPT, "SUPPORTED").otherwise("UNSUPPORTED"))
     slow = slow.withColumn("note", F.when(F.col("ratio") >= vocab.FUZZY_ACCEPT, "near-verbatim (minor edits)").when(F.col("ratio") >= vocab.FUZZY_PARTIAL, "paraphrased, not a quotation").otherwise("no matching text found in source"))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def best_and_others(candidates: DataFrame, keys: list[str], most: int = 10**6) -> DataFrame:
+def best_and_others(candidates: DataFrame, keys: list[str], most: int = 50) -> DataFrame:
     """The best candidate of each key (ties keep their order) and the others in order, without the best one's address.
 
     candidates: keys, href, score, pos. Ranks are limited before lists are
-    gathered when only the first few others are asked for.
+    gathered, so a key's list is short however many candidates it has.
     """
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "pos")
     ranked = candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most + 1)

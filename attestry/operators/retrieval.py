@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.operators.sizes import broadcast_if_small
+
 
 def dot(a: Column, b: Column) -> Column:
     """The sum of products in the order of the elements, in doubles."""
@@ -21,11 +23,12 @@ def similarities(queries: DataFrame, chunks: DataFrame, keys: list[str] = ()) ->
     """(query_id, chunk_id, sim, chunk columns) of chunks that equal the query in keys.
 
     A stated set of queries against all chunks. With keys it is an equi-join;
-    without, the queries are the side that is sent to the chunks.
+    without, the queries are sent to the chunks if they are small, counted,
+    and meet them block by block otherwise.
     """
     q = queries.select(F.col("query_id"), F.col("embedding").alias("_qe"), F.col("norm").alias("_qn"), *(F.col(k).alias(f"_q_{k}") for k in keys))
     on = [F.col(k) == F.col(f"_q_{k}") for k in keys]
-    both = chunks.join(q, on, "inner") if keys else chunks.crossJoin(q)
+    both = chunks.join(q, on, "inner") if keys else chunks.crossJoin(broadcast_if_small(q, 8 * F.size("_qe") + 64))
     return both.withColumn("sim", F.try_divide(dot(F.col("embedding"), F.col("_qe")), F.col("norm") * F.col("_qn"))).drop("_qe", "_qn", *(f"_q_{k}" for k in keys))
 
 
@@ -59,8 +62,15 @@ def merged(anchor: DataFrame, semantic: DataFrame, dedupe: list[str], k: int) ->
     return ranked.where(F.col("rank") <= F.greatest(F.lit(k), F.col("_anchors"))).drop("_anchors")
 
 
-def render(chunks: DataFrame, order: str = "rank") -> DataFrame:
-    """(query_id, context): the chunks as one text, in order."""
+#: What a query without a chunk is told.
+NO_LAW = "(no provision was retrieved)"
+
+
+def render(chunks: DataFrame, order: str = "rank", queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, context): the chunks as one text, in order. With queries, those without a chunk have the notice."""
     line = F.concat(F.lit("["), F.col("regulation"), F.lit(" — Article "), F.col("article"), F.lit("]\n"), F.col("text"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))), lambda x: x["line"])
-    return chunks.groupBy("query_id").agg(F.array_join(lines, "\n\n").alias("context"))
+    out = chunks.groupBy("query_id").agg(F.array_join(lines, "\n\n").alias("context"))
+    if queries is None:
+        return out
+    return queries.select("query_id").distinct().join(out, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(NO_LAW)))

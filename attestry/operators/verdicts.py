@@ -13,24 +13,34 @@ from attestry.functions import vocab
 def parse_response(raw: Column) -> Column:
     """struct(verdict, score, confidence, discrepancy_type) of a model's raw text.
 
-    What is not an object gives ERROR; unknown verdicts become PARTIAL; a score
-    is cut to an integer of 0 to 100 if it is a number or a whole number in a
-    string; a confidence that is missing is 0.5.
+    What is not an object gives ERROR. Verdicts count as they are written,
+    unknown ones are PARTIAL. A score is a number or a boolean, cut to an
+    integer, or a whole number in a string, within 0 and 100, else null; a
+    confidence is a number, a boolean or a number in a string, within 0 and 1,
+    else 0.5. The text is parsed once: what follows is a function of one
+    array's only element.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    body = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
-    parsed = F.try_parse_json(body)
+    bare = F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*|\s*```$", "")
+    parsed = F.try_parse_json(F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit("")))
+    return F.get(F.transform(F.array(parsed), _response), 0)
+
+
+def _response(parsed: Column) -> Column:
     get = lambda path: F.try_variant_get(parsed, f"$.{path}", "string")
-    ok = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.score", "variant"))
-    text = get("score")
-    number = F.when(kind == "STRING", F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("double"))).when(kind != "BOOLEAN", text.try_cast("double"))
-    score = F.when(number.isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))))).cast("int")
-    upper = F.upper(F.coalesce(get("verdict"), F.lit("")))
-    verdict = F.when(~ok, "ERROR").when(upper.isin(vocab.VERDICTS), upper).otherwise("PARTIAL")
-    confidence = F.when(ok, F.coalesce(get("confidence").try_cast("double"), F.lit(0.5))).otherwise(F.lit(0.0))
-    discrepancy = F.when(get("discrepancy_type").isin(vocab.DISCREPANCIES), get("discrepancy_type"))
-    return F.struct(verdict.alias("verdict"), F.when(ok & (verdict != "NOT_ADDRESSED"), score).alias("score"), confidence.alias("confidence"), F.when(ok, discrepancy).alias("discrepancy_type"))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(parsed, f"$.{path}", "variant"))
+    score, confidence = get("score"), get("confidence")
+    whole = F.when(score.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), F.trim(F.replace(score, F.lit("_"), F.lit(""))).try_cast("double"))
+    number = F.when(kind("score") == "BOOLEAN", F.when(score == "true", 1.0).otherwise(0.0)).when(kind("score") == "STRING", whole).otherwise(score.try_cast("double"))
+    cut = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
+    share = F.when(kind("confidence") == "BOOLEAN", F.when(confidence == "true", 1.0).otherwise(0.0)).when(confidence.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), F.trim(confidence).try_cast("double"))
+    within = lambda x, most: F.when(x.isNotNull(), F.least(F.lit(most), F.greatest(F.lit(type(most)(0)), x)))
+    ok, verdict, discrepancy = parsed.isNotNull(), get("verdict"), get("discrepancy_type")
+    return F.struct(
+        F.when(~ok, "ERROR").when(verdict.isin(vocab.VERDICTS), verdict).otherwise("PARTIAL").alias("verdict"),
+        within(cut, 100).cast("int").alias("score"),
+        F.when(ok, F.coalesce(within(share, 1.0), F.lit(0.5))).otherwise(0.0).alias("confidence"),
+        F.when(discrepancy.isin(vocab.DISCREPANCIES), discrepancy).alias("discrepancy_type"),
+    )
 
 
 def is_scored(score: Column, verdict: Column) -> Column:

@@ -54,10 +54,9 @@ def q_policy_context(spark, d):
 
 @query("SELECT b.item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1")
 def q_quote_verbatim(spark, d):
-    # A stated list of quotations, sent whole to each document.
-    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    held = docs(spark, d).crossJoin(F.broadcast(quotes)).where(F.contains("text", F.col("quote")))
-    return held.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    held = grounding.containing(quotes, docs(spark, d).select(F.col("doc_id").alias("text_id"), "text"))
+    return held.groupBy(F.col("quote_id").alias("item_id")).agg(F.count("*").alias("n_docs"), F.min("text_id").alias("first_doc"))
 
 
 @query()
@@ -96,10 +95,18 @@ def q_legal_density(spark, d):
     return best.select("source", "b.doc_id", F.round("b.density", 4).alias("density"))
 
 
-@query()
+_BARE = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+@query(f"""WITH b AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(10))), lambda x: x <> '') AS l FROM documents),
+k AS (SELECT doc_id, len(l) AS blocks, list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN length(x[1]) >= 30 AND len(list_filter(acc[-3:], lambda y: contains({_BARE.format('y')}, {_BARE.format('x[1]')}))) > 0 THEN acc ELSE list_concat(acc, x) END, CAST([] AS VARCHAR[])) AS kept FROM b)
+SELECT doc_id, blocks, len(kept) AS kept, md5(array_to_string(kept, chr(10) || chr(10))) AS digest FROM k""")
 def q_block_dedupe(spark, d):
-    kept = X.dedupe_blocks(F.split("text", "\n"))
-    return docs(spark, d).select("doc_id", F.size(F.split("text", "\n")).alias("blocks"), F.size(kept).alias("kept"))
+    blocks = F.split(F.coalesce("text", F.lit("")), "\n")
+    kept = X.dedupe_blocks(blocks)
+    some = F.filter(blocks, lambda x: F.btrim(x, F.lit(" \t\r\n")) != "")
+    rows = docs(spark, d).select("doc_id", F.size(some).cast("bigint").alias("blocks"), kept.alias("k"))
+    return rows.select("doc_id", "blocks", F.size("k").cast("bigint").alias("kept"), F.md5(F.array_join("k", "\n\n")).alias("digest"))
 
 
 @query()
@@ -149,7 +156,7 @@ def q_vector_topk(spark, d):
 @query(f"WITH {V_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rk FROM s) SELECT query_id, vec_id, rk::INTEGER AS rank FROM r WHERE rk <= 5 AND label IN (1, 3, 5, 7)")
 def q_topk_postfilter(spark, d):
     v, q = vectors(spark, d)
-    return retrieval.top_k(retrieval.similarities(F.broadcast(q), v), 5).where(F.col("label").isin(1, 3, 5, 7)).select("query_id", "vec_id", "rank")
+    return retrieval.top_k(retrieval.similarities(q, v), 5).where(F.col("label").isin(1, 3, 5, 7)).select("query_id", "vec_id", "rank")
 
 
 @query(f"""WITH {V_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rk FROM s WHERE label = CASE WHEN query_id % 200 = 0 THEN q_label ELSE -1 END),
@@ -158,7 +165,7 @@ def q_topk_fallback(spark, d):
     v, q = vectors(spark, d)
     asked = q.withColumn("label", F.when(F.col("query_id") % 200 == 0, F.col("label")).otherwise(-1))
     filtered = retrieval.top_k(retrieval.similarities(asked, v, ["label"]), 3)
-    every = retrieval.top_k(retrieval.similarities(F.broadcast(q), v), 3)
+    every = retrieval.top_k(retrieval.similarities(q, v), 3)
     return retrieval.with_fallback(filtered.select("query_id", "vec_id"), every.select("query_id", "vec_id"))
 
 
@@ -171,5 +178,5 @@ def q_anchor_join(spark, d):
     v, q = vectors(spark, d)
     refs = q.select("query_id", F.explode(F.array(*((F.col("label") + i) % 10 for i in (1, 2)))).alias("label"))
     anchor = retrieval.anchors(refs, v.select("label", "chunk_id"), ["label"], 2).select("query_id", "chunk_id", F.col("chunk_id").alias("pos"))
-    semantic = retrieval.top_k(retrieval.similarities(F.broadcast(q), v), 3).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("pos"))
+    semantic = retrieval.top_k(retrieval.similarities(q, v), 3).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("pos"))
     return retrieval.merged(anchor, semantic, ["chunk_id"], 3).select("query_id", F.col("chunk_id").alias("vec_id"), "src", "rank")

@@ -116,12 +116,14 @@ def q_capped_list(spark, d):
     return e.groupBy("user_id").agg(F.greatest(F.count("*") - 5, F.lit(0)).alias("overflow")).join(first, "user_id").select("user_id", "first_events", "overflow")
 
 
-RAW = """CASE event_id % 6 WHEN 0 THEN '```json\n{"verdict": "pass", "score": ' || (k * 3) || '}\n```' WHEN 1 THEN 'Sure: {"verdict": "FAIL", "score": "' || k || '", "confidence": 0.25, "discrepancy_type": "neglect"} done'
- WHEN 2 THEN '{"verdict": "MAYBE", "score": ' || k || '.9}' WHEN 3 THEN 'no object here ' || k WHEN 4 THEN '{"verdict": "NOT_ADDRESSED", "score": null}' ELSE '{"verdict": "PARTIAL", "score": "' || k || '.5", "discrepancy_type": "odd"}' END"""
+RAW = """CASE event_id % 10 WHEN 0 THEN '```json\n{"verdict": "PASS", "score": ' || (k * 3) || ', "confidence": 7.5}\n```' WHEN 1 THEN 'Sure: {"verdict": "FAIL", "score": "' || k || '", "confidence": 0.25, "discrepancy_type": "neglect"} done'
+ WHEN 2 THEN '{"verdict": "MAYBE", "score": ' || k || '.9, "confidence": "0.75"}' WHEN 3 THEN 'no object here ' || k WHEN 4 THEN '{"verdict": "NOT_ADDRESSED", "score": ' || k || ', "confidence": -2}' WHEN 5 THEN '{"verdict": "PARTIAL", "score": "' || k || '.5", "discrepancy_type": "odd"}'
+ WHEN 6 THEN '{"verdict": "pass", "score": true, "confidence": false}' WHEN 7 THEN '{"verdict": "FAIL", "score": null, "confidence": "high", "discrepancy_type": "contrary"}' WHEN 8 THEN '{"verdict": "PASS", "score": -' || k || '.5}' ELSE '{"verdict": "PASS", "score": ' || k END"""
 
 
-@query(f"""WITH {E_SQL} SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'PARTIAL' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'NOT_ADDRESSED' ELSE 'PARTIAL' END AS verdict,
-CAST(CASE event_id % 6 WHEN 0 THEN least(100, k * 3) WHEN 1 THEN k WHEN 2 THEN k END AS INTEGER) AS score, CASE event_id % 6 WHEN 1 THEN 0.25 WHEN 3 THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN event_id % 6 = 1 THEN 'neglect' END AS discrepancy_type FROM e""")
+@query(f"""WITH {E_SQL} SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'NOT_ADDRESSED' WHEN 7 THEN 'FAIL' WHEN 8 THEN 'PASS' WHEN 9 THEN 'ERROR' ELSE 'PARTIAL' END AS verdict,
+CAST(CASE event_id % 10 WHEN 0 THEN least(100, k * 3) WHEN 1 THEN k WHEN 2 THEN k WHEN 4 THEN k WHEN 6 THEN 1 WHEN 8 THEN 0 END AS INTEGER) AS score,
+CASE event_id % 10 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN 0.75 WHEN 3 THEN 0.0 WHEN 4 THEN 0.0 WHEN 6 THEN 0.0 WHEN 9 THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence, CASE event_id % 10 WHEN 1 THEN 'neglect' WHEN 7 THEN 'contrary' END AS discrepancy_type FROM e""")
 def q_parse_response(spark, d):
     raw = events(spark, d).select("event_id", F.expr(RAW).alias("raw"))
     return raw.select("event_id", verdicts.parse_response(F.col("raw")).alias("p")).select("event_id", "p.*")

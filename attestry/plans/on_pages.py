@@ -57,10 +57,17 @@ def q_third_party_requests(spark, d):
     return e.where(F.col("etld1") != FIRST_PARTY).groupBy("etld1").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {H_SQL}, r AS (SELECT page_id, host, array_to_string(string_split(regexp_replace(host, '^www\\.', ''), '.')[-2:], '.') AS root FROM h) SELECT page_id, (contains(root, 'example.com') OR contains('example.com', root) OR root = 'example.org') AS trusted FROM r")
+_ROOT = "array_to_string(string_split(regexp_replace({0}, '^www\\.', ''), '.')[-2:], '.')"
+
+
+@query(f"""WITH {H_SQL}, p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'example.com' WHEN 1 THEN 'www.example.com' ELSE 'shop.co.uk' END AS a, CASE page_id % 8 WHEN 0 THEN 'evil.co.uk' WHEN 1 THEN 'UK' WHEN 2 THEN '' ELSE host END AS b FROM h),
+l AS (SELECT page_id, a, lower(b) AS b FROM p) SELECT page_id, b <> '' AND (contains(a, b) OR contains(b, a) OR ({_ROOT.format('a')} = 'example.com' AND (b IN ('example.org', 'cdn.example.net') OR {_ROOT.format('b')} IN ('example.org', 'cdn.example.net')))) AS trusted FROM l""")
 def q_trusted_domain(spark, d):
-    kin = {"example.com": ["example.com", "example.org"]}
-    return hosts(spark, d).select("page_id", U.is_trusted(F.lit(FIRST_PARTY), F.col("host"), kin).alias("trusted"))
+    kin = {"example.com": ["example.org", "cdn.example.net"]}
+    i = F.col("page_id")
+    primary = F.when(i % 3 == 0, FIRST_PARTY).when(i % 3 == 1, "www.example.com").otherwise("shop.co.uk")
+    candidate = F.when(i % 8 == 0, "evil.co.uk").when(i % 8 == 1, "UK").when(i % 8 == 2, "").otherwise(F.col("host"))
+    return hosts(spark, d).select("page_id", U.is_trusted(primary, candidate, kin).alias("trusted"))
 
 
 SCORE_SQL = """(CASE WHEN regexp_matches(lower(url), '/en/1|/en/2') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(lower(url), '/fr/|/de/') THEN 10 ELSE 0 END
