@@ -10,6 +10,12 @@ def _rate(n, d):
     return F.when(d > 0, n.cast("double") / d.cast("double")).otherwise(0.0)
 
 
+def matched(annotated: DataFrame, reported: DataFrame, keys: list[str] = ("domain", "dimension")) -> DataFrame:
+    """annotated, (keys, human), with system and matched: whether a report has a verdict on it. What has none is counted, not lost."""
+    r = reported.select(*keys, F.col("verdict").alias("system"), F.lit(True).alias("_hit"))
+    return annotated.join(r, list(keys), "left").withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
 def agreement(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
     """n, matches and their ratio. pairs: (human, system)."""
     n, m = F.count("*"), F.count_if(F.col("human") == F.col("system"))

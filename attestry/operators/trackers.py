@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions import vocab
 from attestry.functions.urls import etld1
 
+
 def list_a(raw: DataFrame, position: str = "pos") -> DataFrame:
     """(domain, category) of category lists with a position; of several categories the last counts."""
     return raw.groupBy(etld1(F.col("domain")).alias("domain")).agg(F.max_by("category", position).alias("category"))
@@ -24,14 +25,17 @@ def builtin(spark, domains: list[str] = vocab.BUILTIN_TRACKERS) -> DataFrame:
 
 
 def tracker_database(patterns: DataFrame, pattern_domains: DataFrame, profiling: list[str] = vocab.PROFILING_CATEGORIES_B) -> DataFrame:
-    """Sorted domains of a tracker database whose category is unknown or profiling.
+    """Sorted registrable domains of a tracker database whose category is unknown or profiling; none at all is an error.
 
     patterns: (pattern, category, domains array); pattern_domains: (domain, pattern).
     """
     own = patterns.select("pattern", F.explode("domains").alias("domain"))
     every = own.unionByName(pattern_domains.select("pattern", "domain")).distinct()
     kept = every.join(patterns.select("pattern", "category"), "pattern", "left").where(F.col("category").isNull() | F.col("category").isin(profiling))
-    return kept.select("domain").distinct().orderBy("domain")
+    out = kept.select(etld1(F.col("domain")).alias("domain")).where("domain <> ''").distinct()
+    if out.isEmpty():
+        raise ValueError("the tracker database has no domain of a profiling category")
+    return out.orderBy("domain")
 
 
 def with_category(rows: DataFrame, a: DataFrame, b: DataFrame, builtin_domains: DataFrame, host: str = "etld1") -> DataFrame:

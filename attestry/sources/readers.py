@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.functions.urls import etld1
+from attestry.functions.urls import any_of, is_trusted, url_host
 
+LOC = r"(?is)<loc>\s*(.*?)\s*</loc>"
 HEADER = "struct<name:string,value:string>"
 HAR = f"log struct<version:string,entries:array<struct<startedDateTime:string,request:struct<url:string,method:string,headers:array<{HEADER}>>,response:struct<status:int,headers:array<{HEADER}>>>>>"
 COOKIE = "struct<name:string,domain:string,path:string,secure:boolean,httpOnly:boolean,sameSite:string,expires:double,third_party:boolean>"
@@ -22,7 +26,10 @@ REPORT = (
     "dimensions array<struct<dimension:string,verdict:string,score:int,confidence:double,severity:string,policy_claim:string,behavioral_evidence:string,discrepancy_type:string,"
     "breach:struct<regulation:string,article:string,requirement_text:string>,retrieved_articles:array<struct<regulation:string,article:string>>,rule_text:string>>"
 )
-RECORD = "url string, domain string, sector string, jurisdiction string, status string, score int, grounding double, policies int, verdicts map<string,string>, issues array<string>, seconds double"
+RECORD = (
+    "domain string, sector string, jurisdiction string, status string, requests int, ui_elements int, policies_found int, overall_score int, overall_verdict string, n_dimensions int, "
+    "n_fail int, n_partial int, n_pass int, n_not_addressed int, grounding_rate double, dims_with_issues int, seconds double, notes string, issues array<string>"
+)
 ANNOTATION = "domain string, dimension string, legal_requirement string, observed_behaviour string, policy_excerpt string, human_verdict string, annotator_notes string"
 
 
@@ -41,13 +48,14 @@ def telemetry(spark, path: str) -> DataFrame:
 
 
 def tracker_list_a(spark, path: str) -> DataFrame:
-    """(domain, category, pos); values that are not lists are left out."""
+    """(domain, category, pos); values that are not lists are left out. pos is the place in the file: of category, service, home and list."""
     raw = spark.read.schema(LIST_A).option("multiLine", True).json(path)
-    services = raw.select(F.explode("categories").alias("category", "services")).select("category", F.posexplode("services").alias("i", "s"))
-    homes = services.select("category", "i", F.explode("s").alias("service", "homes")).select("category", "i", F.explode("homes").alias("home", "value"))
-    names = F.from_json("value", "array<string>")
-    listed = homes.where(F.startswith("value", F.lit("["))).select("category", F.monotonically_increasing_id().alias("at"), F.posexplode(names).alias("j", "domain"))
-    return listed.select("domain", "category", (F.col("at") * 10_000 + F.col("j")).alias("pos"))
+    categories = raw.select(F.posexplode(F.map_entries("categories")).alias("p0", "c"))
+    services = categories.select("p0", F.col("c.key").alias("category"), F.posexplode("c.value").alias("p1", "s"))
+    named = services.select("p0", "p1", "category", F.posexplode(F.map_entries("s")).alias("p2", "homes"))
+    homes = named.select("p0", "p1", "p2", "category", F.posexplode(F.map_entries("homes.value")).alias("p3", "home")).where(F.startswith("home.value", F.lit("[")))
+    listed = homes.select("p0", "p1", "p2", "p3", "category", F.posexplode(F.from_json("home.value", "array<string>")).alias("p4", "domain"))
+    return listed.select("domain", "category", F.array("p0", "p1", "p2", "p3", "p4").alias("pos"))
 
 
 def tracker_list_b(spark, path: str) -> DataFrame:
@@ -60,13 +68,15 @@ def whole_texts(spark, path: str) -> DataFrame:
 
 
 def pdf_files(spark, path: str, to_text) -> DataFrame:
-    """(file, text) of PDF files by a caller's function from bytes to text; no PDF library comes with this."""
+    """(file, text) of PDF files by a caller's function from bytes to text, in Arrow batches; no PDF library comes with this."""
 
-    @F.udf("string")
-    def of(content):
-        return to_text(bytes(content))
+    def run(batches):
+        for b in batches:
+            texts = [None if c is None else to_text(c) for c in b.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("file"), pa.array(texts, pa.string())], names=["file", "text"])
 
-    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"), of("content").alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"), "content")
+    return files.mapInArrow(run, "file string, text string")
 
 
 def sites(spark, path: str) -> DataFrame:
@@ -108,20 +118,33 @@ def chunks(spark, path: str) -> DataFrame:
     return spark.read.schema("chunk_id bigint, text string, regulation string, jurisdiction string, article string, requirement_type string, severity string, source_file string, embedding array<float>").parquet(path)
 
 
+#: Sitemaps of sitemaps are followed so far.
+SITEMAP_DEPTH = 2
+
+
 def sitemap_links(bodies: DataFrame, tokens: list[str]) -> DataFrame:
     """(url, loc): addresses in fetched sitemaps, (url, body), that hold one of the tokens."""
-    from attestry.functions.urls import any_of
-
-    locs = bodies.select("url", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1)).alias("loc"))
+    locs = bodies.select("url", F.explode(F.regexp_extract_all("body", F.lit(LOC), 1)).alias("loc"))
     return locs.where(any_of(F.lower("loc"), tokens))
 
 
+def sitemap_pages(roots: DataFrame, bodies: DataFrame, tokens: list[str], depth: int = SITEMAP_DEPTH) -> DataFrame:
+    """(host, loc): addresses of trusted hosts that hold a token, in a host's sitemaps and those that they name, depth levels down.
+
+    roots: (host, sitemap); bodies: (url, body) of all that was fetched. A
+    level is an equi-join with the bodies.
+    """
+    pages, level = [], roots.select("host", F.col("sitemap").alias("url")).distinct()
+    for _ in range(depth + 1):
+        read = level.join(bodies, "url").select("host", F.col("body").rlike("(?i)<sitemapindex").alias("is_index"), F.explode(F.regexp_extract_all("body", F.lit(LOC), 1)).alias("loc"))
+        pages.append(read.where(~F.col("is_index")).select("host", "loc"))
+        level = read.where("is_index").select("host", F.col("loc").alias("url")).distinct()
+    found = reduce(DataFrame.unionByName, pages).distinct()
+    return found.where(any_of(F.lower("loc"), tokens) & is_trusted(F.col("host"), url_host(F.col("loc"))))
+
+
 def robots_sitemaps(bodies: DataFrame, usual: tuple[str, ...] = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemaps.xml")) -> DataFrame:
     """(origin, sitemap): those that robots files, (origin, body), name; else the usual places."""
     named = F.regexp_extract_all("body", F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), 1)
     some = F.array(*(F.concat("origin", F.lit(u)) for u in usual))
     return bodies.select("origin", F.explode(F.when(F.size(named) > 0, named).otherwise(some)).alias("sitemap"))
-
-
-def registrable(df: DataFrame, host: str = "host") -> DataFrame:
-    return df.withColumn("etld1", etld1(F.col(host)))

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.operators import agreement, evidence, links, retrieval, trackers
+from attestry.operators import agreement, audit, evidence, links, policies, rendering, retrieval, trackers, verification
 from attestry.sources import readers, writers
 from attestry.streaming import captures
 
@@ -25,7 +25,7 @@ def scans(spark, tmp_path_factory):
     ]
     (d / "site.har").write_text(json.dumps({"log": {"version": "1.2", "entries": entries}}))
     (d / "other.har").write_text(json.dumps({"log": {"entries": [entry("https://a.lone.example/")]}}))
-    cookie = lambda n, dom, e: {"name": n, "domain": dom, "expires": e}
+    cookie = lambda n, dom, e: {"name": n, "domain": dom, "expires": e, "third_party": True}
     at = 1782900000.0
     store = [cookie("uid", ".follow.net", at + 86400 * 365), cookie("js", ".follow.net", at + 86400 * 90), cookie("near", ".follow.net", at + 86400 * 29.96), cookie("s", ".follow.net", -1)]
     (d / "site_telemetry.json").write_text(json.dumps({"meta": {"etld1": "shop.example", "captured_at": START}, "observed_behavior": {"cookies": {"total": 4, "all_cookies": store}}}))
@@ -41,9 +41,202 @@ def test_evidence(spark, scans):
     header, browser = evidence.header_cookie_events(reqs, party, tracking), evidence.browser_cookie_events(tele, party, tracking)
     assert {r.name for r in header.where("profiling").collect()} == {"uid", "cid", "over"}
     assert {r.name for r in browser.where("profiling").collect()} == {"uid", "js"}
-    row = evidence.assemble(reqs, party, header, browser, tracking).where("scan = 'site'").first()
-    assert row.summary.asDict() == {"total_requests": 5, "third_party_domains_contacted": 3, "tracker_requests": 3, "set_cookie_events": 7, "pre_consent_profiling_cookies": 4}
-    assert row.third_party_domains == ["count.net", "follow.net", "plain.org"] and [c.name for c in row.js_set_profiling_cookies] == ["js"]
+    totals = evidence.entry_counts(readers.har(spark, f"{scans}/*.har"))
+    row = evidence.assemble(reqs, party, header, browser, tracking, tele, totals).where("scan = 'site'").first()
+    assert row.summary.asDict() == {"total_requests": 6, "third_party_domains_contacted": 3, "tracker_requests": 3, "set_cookie_events": 7, "pre_consent_profiling_cookies": 4, "fingerprinting_alarms": 0}
+    assert row.third_party_domains == ["count.net", "follow.net", "plain.org"] and [c.name for c in row.js_set_profiling_cookies] == ["js"] and row.declared_vs_actual is None
+
+
+GOLDEN_START = "2026-07-12T10:00:00Z"
+
+
+@pytest.fixture(scope="module")
+def golden(spark, tmp_path_factory):
+    """A capture with each case of the profiling rule, its evidence row with and without telemetry and declarations."""
+    d = tmp_path_factory.mktemp("golden")
+    year = "Mon, 12 Jul 2027 10:00:00 GMT"
+    at = lambda url, *c: entry(url, *c) | {"startedDateTime": GOLDEN_START}
+    entries = [
+        at("https://www.example.com/", "sessionid=abc; Path=/"), at("https://ad.doubleclick.net/x", f"id=1; Domain=.doubleclick.net; Expires={year}"), at("https://www.facebook.net/tr", "fr=1; Max-Age=3600"),
+        at("https://ib.adnxs.com/seg", "anj=1; Max-Age=31536000"), at("https://pixel.rubiconproject.com/p", f"rpx=1; Expires={year}"), at("https://m.stripe.com/6", "m=1; Max-Age=63072000"),
+    ]
+    (d / "example.har").write_text(json.dumps({"log": {"entries": entries}}))
+    store = [("sessionid", "www.example.com", -1, False), ("_ga", ".google-analytics.com", 1815000000, True), ("id", ".doubleclick.net", 1846200000, True)]
+    cookies = [dict(zip(("name", "domain", "expires", "third_party"), c)) for c in store]
+    (d / "example_telemetry.json").write_text(json.dumps({
+        "meta": {"url": "https://www.example.com", "final_url": "https://www.example.com/", "etld1": "example.com", "captured_at": GOLDEN_START},
+        "observed_behavior": {"cookies": {"total": 3, "all_cookies": cookies}, "fingerprinting_traps": {"alarms_triggered": 1, "alarms": ["COMPLIANCE_ALARM: HTMLCanvasElement.toDataURL read"]}},
+        "visual_evidence": {"interactable_elements": {"total": 9, "consent_related_count": 2}},
+    }))
+    tracking = trackers.builtin(spark)
+    har, tele = readers.har(spark, f"{d}/*.har"), readers.telemetry(spark, f"{d}/*_telemetry.json")
+
+    def row(tele, **more):
+        reqs = evidence.requests(har)
+        party = evidence.first_party(reqs, tele)
+        return evidence.assemble(reqs, party, evidence.header_cookie_events(reqs, party, tracking), evidence.browser_cookie_events(tele, party, tracking), tracking, tele, evidence.entry_counts(har), **more)
+
+    declared = spark.createDataFrame([("example", "doubleclick.net"), ("example", "www.facebook.net")], "scan string, domain string")
+    names = spark.createDataFrame([("example", n) for n in ("id", "fr", "sessionid")], "scan string, name string")
+    return row(tele, declared=declared, declared_cookies=names).cache(), row(tele.limit(0))
+
+
+def test_golden_evidence(golden):
+    with_telemetry, alone = (df.first() for df in golden)
+    names = lambda cs: sorted(c.name for c in cs)
+    assert with_telemetry.summary.pre_consent_profiling_cookies == 4 and alone.summary.pre_consent_profiling_cookies == 3
+    assert names(with_telemetry.pre_consent_profiling_cookies) == ["anj", "id", "rpx"] and names(with_telemetry.js_set_profiling_cookies) == ["_ga"] and names(with_telemetry.other_third_party_cookies) == ["fr", "m"]
+    dva = with_telemetry.declared_vs_actual
+    assert dva.discrepancy_type == "neglect" and dva.undeclared_domains == ["adnxs.com", "rubiconproject.com", "stripe.com"] and dva.undeclared_cookies == ["_ga", "anj", "m", "rpx"]
+    assert with_telemetry.summary.fingerprinting_alarms == 1 and with_telemetry.consent_ui_detected is True and with_telemetry.scanned_url == "https://www.example.com/"
+    assert (alone.first_party, alone.consent_ui_detected, alone.declared_vs_actual, alone.fingerprinting_alarms) == ("example.com", None, None, [])
+
+
+def test_evidence_texts(spark, golden):
+    full, _ = golden
+    dims = audit.dimensions(spark, ["pre_consent_tracking", "disclosure_of_third_parties", "right_to_withdraw", "tracking_without_consent"])
+    got = {r.dimension: r for r in rendering.by_dimension(full, dims, most=2).collect()}
+    assert "\npre_consent_profiling_cookies (3):" in got["pre_consent_tracking"].evidence_text and "  ... and 1 more" in got["pre_consent_tracking"].evidence_text
+    assert "cookie '_ga' (google-analytics.com), lifetime " in got["pre_consent_tracking"].evidence_text
+    assert '\ndeclared_vs_actual: {"declared_third_party_domains"' in got["disclosure_of_third_parties"].evidence_text
+    assert got["right_to_withdraw"].evidence_text.endswith(rendering.NOT_APPLICABLE) and not got["right_to_withdraw"].has_events and got["tracking_without_consent"].has_events
+    site = rendering.of_site(full, most=2).first().evidence_text
+    assert "Third-party domains contacted: 5\n  - adnxs.com\n  - doubleclick.net\n  ... and 3 more." in site and "2 declared, 5 observed, 3 undeclared." in site and "POTENTIAL" in site
+    seen = rendering.for_annotators(full).first().observed
+    assert "profiling cookies before consent: 4" in seen and "  HTMLCanvasElement.toDataURL read" in seen and "not named in policy: 3" in seen
+    empty = rendering.by_dimension(golden[1].where("false"), dims)
+    assert empty.count() == 0
+
+
+REPORT_ROW = "site string, dimension string, verdict string, score int, confidence double, policy_claim string, behavioral_evidence string, discrepancy_type string, breach struct<regulation:string,article:string,requirement_text:string>, retrieved_articles array<struct<regulation:string,article:string>>, rule_text string"
+
+
+def report_rows(spark):
+    law, got = "Consent shall be freely given and may be withdrawn at any time.", [("GDPR", "7"), ("PECR", "6")]
+    policy = "We share data with partners such as doubleclick.net for advertising purposes."
+    rows = [
+        ("example.com", "fine", "FAIL", 20, 0.9, "We share data with partners", "ad.doubleclick.net set the cookie 'anj'; 5 third-party hosts", "contrary", ("GDPR", "Article 7(1)", "Consent shall be freely given"), got, law),
+        ("example.com", "cited", "PARTIAL", 50, 0.9, None, "adnxs.com", None, ("GDPR", "9", None), got, law),
+        ("example.com", "quoted", "PASS", 90, 0.9, "We never share anything with anybody at all", "navigator.getBattery", None, (None, None, "Something else entirely is written here"), got, law),
+        ("example.com", "invented", "FAIL", 80, 0.9, None, "evil.test set 'nosuch' and 77 trackers", "neglect", (None, None, None), got, law),
+        ("example.com", "silent", "NOT_ADDRESSED", 10, 0.9, None, None, None, (None, None, None), got, law),
+        ("example.com", "old", "PASS", 70, 0.9, None, None, None, (None, None, None), None, None),
+        ("example.com", "dry", "DRY_RUN", None, None, None, None, None, None, None, None),
+        ("bare.test", "unread", "FAIL", 30, 0.9, "We keep data for a year", "bare.test", "neglect", (None, None, None), got, None),
+    ]
+    return spark.createDataFrame(rows, REPORT_ROW), spark.createDataFrame([("example.com", policy)], "site string, policy_text string")
+
+
+def test_verification_end_to_end(spark, golden):
+    rows, policies = report_rows(spark)
+    known = verification.universe(golden[0]).withColumn("site", F.lit("example.com"))
+    done = verification.verify(rows, known, policies)
+    got = {r.dimension: r for r in done.collect()}
+    assert set(got) == {"fine", "cited", "quoted", "invented", "silent", "old", "unread"}
+    checks = lambda d: [got[d][c] for c in verification.CHECKS]
+    assert checks("fine") == ["SUPPORTED"] * 5 and got["fine"].grounded and got["fine"].issues == []
+    assert checks("cited") == ["UNSUPPORTED", "N/A", "N/A", "SUPPORTED", "SUPPORTED"] and got["cited"].issues[0].startswith("C1: cited GDPR Art 9")
+    assert checks("quoted")[1:4] == ["UNSUPPORTED", "UNSUPPORTED", "SUPPORTED"] and [i[:2] for i in got["quoted"].issues] == ["C2", "C3"]
+    assert [i.split("'")[1] for i in got["invented"].issues if i.startswith("C4")] == ["evil.test", "nosuch", "77"] and "C5: score outside its band" in got["invented"].issues
+    assert got["silent"].issues == ["C5: not addressed, yet cited or scored"]
+    assert got["old"].legacy and got["old"].grounded
+    assert got["unread"].C3_policy_quote == "N/A" and got["unread"].issues == ["C3: policy text unavailable to the verifier, quote could not be checked", "C5: neglect without a policy"]
+    of = {r.site: r for r in verification.summary(done).collect()}
+    s = of["example.com"]
+    assert (s.dimensions_checked, s.dimensions_verifiable, s.dimensions_fully_grounded, s.grounding_rate, s.grounding_rate_all, s.legacy_report) == (6, 5, 2, 0.2, 0.333, True)
+    assert s.C1_citation.asDict() == {"supported": 1, "unsupported": 1, "na": 4} and sum(r.n for r in verification.tally(done).collect()) == 35
+    assert verification.verify(rows, None, policies).count() == 7 and verification.verify(rows.limit(0), known, policies).count() == 0
+    with pytest.raises(SystemExit):
+        writers.gate(done.select(F.explode(F.array(*verification.CHECKS)).alias("status")))
+
+
+def test_batch(spark, tmp_path):
+    template = "Dimension {dim_id} ({law_refs}) {{as is}}\n{law_context}|{policy_context}|{evidence_context}"
+    dims = audit.dimensions(spark, ["lawful_basis", "childrens_data"])
+    texts = dims.select(F.lit("a.test").alias("scan"), "dimension", F.lit("seen {x}").alias("evidence_text"), F.lit(True).alias("has_events"))
+    asked = audit.prompts(texts, spark.createDataFrame([("a.test", "policy")], "scan string, policy_text string"), spark.createDataFrame([("lawful_basis", "law")], "dimension string, law_text string"), dims, template)
+    assert {r.prompt for r in asked.collect()} == {"Dimension lawful_basis (GDPR Art 6, 13(1)(c)) {as is}\nlaw|policy|seen {x}", "Dimension childrens_data (GDPR Art 8; DPDP §9) {as is}\n|policy|seen {x}"}
+    answer = lambda ps: ['{"verdict": "FAIL", "score": 30}' if "lawful" in p else None for p in ps]
+    scored = audit.score_with(asked, answer).withColumn("domain", F.col("scan"))
+    assert {(r.dimension, r.verdict, r.score) for r in scored.collect()} == {("lawful_basis", "FAIL", 30), ("childrens_data", "ERROR", None)}
+    with pytest.raises(KeyError):
+        audit.dimensions(spark, ["no_such"])
+    assert audit.dimensions(spark, behavioural_only=True).count() == 8
+    sites = spark.createDataFrame([("a.test", "news", "IE"), ("b.test", "news", "IE"), ("c.test", "shop", "UK")], "domain string, sector string, jurisdiction string")
+    health = spark.createDataFrame([("a.test", 50, 3, True), ("b.test", 2, 0, False)], "domain string, requests int, ui_elements int, healthy boolean")
+    rates = spark.createDataFrame([("a.test", 0.5, 1)], "domain string, grounding_rate double, dimensions_with_issues bigint")
+    records = audit.batch(sites, health, scored, rates, spark.createDataFrame([("a.test", 2)], "domain string, n_files bigint"))
+    got = {r.domain: r for r in records.collect()}
+    assert [got[d].status for d in ("a.test", "b.test", "c.test")] == ["ok", "blocked", "collector_failed"] and (got["a.test"].n_fail, got["a.test"].overall_score, got["b.test"].notes) == (1, 30, "2 requests, 0 UI elements")
+    writers.batch_csv(records, f"{tmp_path}/csv")
+    writers.batch_json(records, f"{tmp_path}/json")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/csv")
+    assert back.columns == writers.BATCH_COLUMNS and back.count() == 3 and readers.records(spark, f"{tmp_path}/json/*.json").count() >= 1
+    page = writers.batch_markdown(records, spark.createDataFrame([(0, "C4: domain 'x' not in telemetry")], "pos int, issue string")).first().value
+    assert "3 sites attempted, 1 scored, 1 blocked, 1 failed. Capture failure rate: 33%." in page and "| news | 1 | 30.0 | 50.0 |" in page and "| fabricated | 1 |" in page
+
+
+def test_capture_health(spark, tmp_path):
+    ok = {"meta": {"url": "u"}, "observed_behavior": {"all_requests": [{"url": "x"}] * 10}, "visual_evidence": {"interactable_elements": {"total": 1}}}
+    (tmp_path / "good_telemetry.json").write_text(json.dumps(ok))
+    (tmp_path / "few_telemetry.json").write_text(json.dumps(ok | {"observed_behavior": {"all_requests": [{"url": "x"}] * 9}}))
+    (tmp_path / "bad_telemetry.json").write_text("{not json")
+    t = readers.telemetry(spark, f"{tmp_path}/*_telemetry.json")
+    assert {r.scan: r.healthy for r in audit.capture_health(t).collect()} == {"good": True, "few": False, "bad": False}
+    assert {r.scan: r.healthy for r in audit.capture_health(t, lenient=True).collect()}["bad"] is True
+
+
+def test_ground_truth(spark):
+    human = spark.createDataFrame([("a", "d1", "FAIL"), ("a", "d2", "PASS"), ("b", "d1", "PASS"), ("z", "d1", "PASS")], "domain string, dimension string, human string")
+    system = spark.createDataFrame([("a", "d1", "FAIL"), ("a", "d2", "PARTIAL"), ("b", "d1", "PASS")], "domain string, dimension string, verdict string")
+    joined = agreement.matched(human, system)
+    assert {(r.domain, r.dimension): r.matched for r in joined.collect()} == {("a", "d1"): True, ("a", "d2"): True, ("b", "d1"): True, ("z", "d1"): False}
+    text = writers.ground_truth_markdown(joined, ["PASS", "PARTIAL", "FAIL", "NOT_ADDRESSED"], ["FAIL", "PARTIAL"]).first().value
+    assert "3 annotated judgements, exact agreement 2 (67%)" in text and "1 rows had no system verdict" in text and "| FAIL | 1 | 1 | 1.00 | 1.00 | 1.00 |" in text and "TP 1, FP 1, FN 0" in text and "| d1 | 2 | 100% | 1.00 |" in text
+
+
+def test_policies(spark, tmp_path):
+    files = spark.createDataFrame([("s", 1, "b.md", "two"), ("s", 0, "a.md", "x" * 10), ("t", 0, "n.md", None)], "site string, pos int, name string, text string")
+    sites = spark.createDataFrame([("s",), ("t",), ("u",)], "site string")
+    got = {r.site: r.policy_text for r in policies.policy_text(files, sites, most=4).collect()}
+    assert got == {"s": "--- a.md ---\nxxxx\n[... truncated ...]\n\n--- b.md ---\ntwo", "t": "--- n.md ---\n", "u": policies.NO_POLICY}
+    names = spark.createDataFrame([("a.test_privacy_policy.md",), ("a.test_cookie_policy.md",), ("host.test_privacy_policy.md",), ("other_cedar.test_terms_policy.md",), ("b.md",)], "file string")
+    mapping = spark.createDataFrame([("b.test", "host.test"), ("a.test", "host.test"), ("c.test", "none.test")], "domain string, host string")
+    domains = spark.createDataFrame([("a.test",), ("b.test",), ("www.cedar.test",), ("nothing.test",)], "domain string")
+    assert {(r.domain, r.file, r.tier) for r in policies.find_policies(domains, names, mapping).collect()} == {
+        ("a.test", "a.test_privacy_policy.md", 1), ("a.test", "a.test_cookie_policy.md", 1), ("b.test", "host.test_privacy_policy.md", 2), ("www.cedar.test", "other_cedar.test_terms_policy.md", 3),
+    }
+
+
+def test_choices_among_links_and_answers(spark):
+    c = spark.createDataFrame([("other_policy", 0, "https://x/p", "About Us"), ("other_policy", 5, "https://x/p", "about us"), ("privacy_policy", 0, "https://x/about us", None), ("other_policy", 0, "https://x/q", None)], "category string, score int, href string, text string")
+    assert [r[0] for r in c.select(policies.is_marketing(F.col("category"), F.col("score"), F.col("href"), F.col("text"))).collect()] == [True, False, False, False]
+    links_ = [("k", "a.test", "https://a.test/terms", "x", 0), ("k", "a.test", "https://a.test/p", "Read the full text", 1), ("k", "a.test", "https://evil.org/full", "full detail", 2), ("k", "a.test", "https://a.test/login/full", "full", 3)]
+    best = policies.best_deep_link(spark.createDataFrame(links_, "k string, host string, href string, text string, pos int"), ["k"], ["privacy"]).first()
+    assert (best.href, best.score) == ("https://a.test/p", 50)
+    r = spark.createDataFrame([("s", 0, "u0"), ("s", 1, "u1"), ("t", 0, "v0")], "scan string, pos int, url string")
+    w = spark.createDataFrame([("s", "u1"), ("t", "v9")], "scan string, final_url string")
+    assert {tuple(x) for x in policies.main_response(r, w).collect()} == {("s", "u1", "final_url"), ("t", "v0", "fallback_first_document")}
+    raw = spark.createDataFrame([('```json\n{"privacy_policy": {"url": "u"}, "cookie_policy": {"reason": "none"}}\n```',), ("nonsense",)], "raw string")
+    got = [x[0] for x in raw.select(policies.picked_urls(F.col("raw"))).collect()]
+    assert {k: tuple(v) for k, v in got[0].items()} == {"privacy_policy": ("u", "")} and not got[1]
+    raw = spark.createDataFrame([('{"privacy_policy": {"looks_correct": false, "reason": "r"}, "cookie_policy": "x"}',)], "raw string")
+    assert {k: tuple(v) for k, v in raw.select(policies.checked_documents(F.col("raw"))).first()[0].items()} == {"privacy_policy": (False, "r")}
+    section = "# P\n## Cookies\n" + "word " * 200 + "\n## Next\nz"
+    both = spark.createDataFrame([(section, None), (section, "w " * 400), ("## Cookies\nshort", None)], "privacy string, cookie string")
+    assert [x[0] is not None for x in both.select(policies.embedded_cookie_policy(F.col("privacy"), F.col("cookie"))).collect()] == [True, False, False]
+
+
+def test_sitemaps_are_followed(spark):
+    index = lambda *locs: "<sitemapindex>" + "".join(f"<sitemap><loc> {x} </loc></sitemap>" for x in locs) + "</sitemapindex>"
+    urls = lambda *locs: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in locs) + "</urlset>"
+    bodies = spark.createDataFrame([("r", index("m", "d1")), ("m", urls("https://a.test/privacy", "https://evil.org/privacy", "https://a.test/shop")), ("d1", index("d2")), ("d2", index("d3")), ("d3", urls("https://a.test/privacy-deep"))], "url string, body string")
+    roots = spark.createDataFrame([("a.test", "r")], "host string, sitemap string")
+    assert [r.loc for r in readers.sitemap_pages(roots, bodies, ["privacy"]).collect()] == ["https://a.test/privacy"]
+    assert {r.loc for r in readers.sitemap_pages(roots, bodies, ["privacy"], depth=3).collect()} == {"https://a.test/privacy", "https://a.test/privacy-deep"}
+    robots = spark.createDataFrame([("https://a.test", "User-agent: *\nSitemap: https://a.test/s.xml\n"), ("https://b.test", "")], "origin string, body string")
+    got = [r.sitemap for r in readers.robots_sitemaps(robots).collect()]
+    assert got[0] == "https://a.test/s.xml" and len(got) == 5 and readers.sitemap_links(bodies, ["deep"]).count() == 1
 
 
 def test_tracker_lists(spark, tmp_path):
