@@ -20,6 +20,7 @@ that brings documents next to their neighbours.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from attestry.llm.common import stage
 
 #: Samples in a fingerprint, a multiple of BLOCK.
-SAMPLES = 32
+SAMPLES = 40
 #: Samples that one row of a term draws. More would make the generated method
 #: longer than what the JVM compiles.
 BLOCK = 8
 #: Quantiles in a table; its index is BITS bits of the hash.
 BITS = 12
+#: Bytes of text in a slot of neighbours, which one task lines up.
+SLOT_BYTES = 16 << 20
 #: ln a is between -LN_SHIFT and LN_SHIFT for weights below 10**12.
 LN_SHIFT = 64
 LN_SCALE = 1 << 24
@@ -85,9 +88,10 @@ def signatures(rows: DataFrame, keys: list[str], text_col: str, samples: int = S
     keys name a row; if rows are already distributed by some of them, nothing
     is exchanged.
     """
-    plain = rows.select(*keys, spaced(F.col(text_col)).alias("body")).withColumn("blank", F.btrim("body") == "")
-    words = plain.select(*keys, "blank", F.explode(F.split("body", " ")).alias("word"))
-    terms = words.where("word <> '' OR blank").select(*keys, F.xxhash64("word").alias("term"))
+    body = spaced(F.col(text_col))
+    words = F.when(F.btrim(body) == "", F.array(F.lit(""))).otherwise(F.split(body, " "))
+    exploded = rows.select(*keys, F.explode(words).alias("word"), (F.btrim(body) == "").alias("blank"))
+    terms = exploded.where("word <> '' OR blank").select(*keys, F.xxhash64("word").alias("term"))
     counted = terms.groupBy(*keys, "term").agg(F.count("*").alias("n")).select(*keys, "term", F.ln(F.col("n").cast("double")).alias("ln_weight"))
     blocks = F.explode(F.array(*(F.lit(b * BLOCK) for b in range(samples // BLOCK))))
     spread = counted.select(*keys, "term", "ln_weight", blocks.alias("block"))
@@ -118,15 +122,16 @@ def edited_report(docs: DataFrame, samples: int = SAMPLES, text_col: str = "text
     the order of a hash of their texts, rows without an id come last. An empty
     table gives an empty table. Other columns are not read.
 
-    The order is cut into slots at quantiles of the ids, and each slot is
-    sorted for itself. Only the first id of each slot reaches the driver.
+    The order is cut into slots of about SLOT_BYTES at quantiles of the ids,
+    and each slot is sorted for itself. Only the quantiles and one id of each
+    slot reach the driver. Rows that repeat an id share a slot.
     """
     spark = docs.sparkSession
-    n = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SLOT_BYTES), 2)
     bounds = texts.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("b")).first()["b"]
-    slot = F.size(F.filter(_longs(F.lit(",".join(map(str, sorted(set(bounds)))))), lambda x: x <= F.col("id"))) if bounds else F.lit(0)
-    placed = texts.withColumn("slot", slot)
+    placed = texts.withColumn("slot", place_among(F.col("id"), sorted(set(bounds or []))))
 
     heads = sorted(((r["slot"], r["id"]) for r in placed.groupBy("slot").agg(F.max("id").alias("id")).collect()), reverse=True)
     after = [(s, *heads[(i + 1) % len(heads)]) for i, (s, _) in enumerate(heads)]
@@ -159,5 +164,15 @@ def edited_report(docs: DataFrame, samples: int = SAMPLES, text_col: str = "text
     )
 
 
-def _longs(joined: Column) -> Column:
-    return F.split(joined, ",").cast("array<bigint>")
+def _longs(values: list[int]) -> Column:
+    """An array literal: a constant that the optimiser folds once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+def place_among(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the value: first among every width-th bound, then among those up to the next. Null is before all."""
+    width = max(1, math.isqrt(len(bounds)))
+    coarse = F.size(F.filter(_longs(bounds[width - 1 :: width]), lambda x: x <= value))
+    # From here on the bounds of the same part: the array is cut, not searched.
+    rest = F.slice(_longs(bounds), coarse * width + 1, F.lit(width))
+    return F.when(value.isNull(), F.lit(0)).otherwise(coarse * width + F.size(F.filter(rest, lambda x: x <= value))).cast("int")
