@@ -17,18 +17,18 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.llm.common import Batches, mapped, texts_of
+from attestry.llm.common import Batches, mapped, stage, texts_of, unstage
 
 PASSAGE = 64
 HIDDEN = 24
-#: Labelled documents of the training sample, chosen by a hash of their ids.
+#: Bounds of the training sample: labelled documents, taken in the order of a hash of their ids, and passages of all
+#: of them together. A document is in it with all its passages or not at all.
 TRAIN_DOCS = 3000
-#: Passages of one document that training looks at, evenly spaced.
-TRAIN_PASSAGES = 32
+TRAIN_PASSAGES = 60_000
 EPOCHS = 8
 BATCH_DOCS = 32
 #: Few documents are gone over more often, until so many batches are done.
@@ -137,33 +137,44 @@ def fit(bags: list[np.ndarray], label: np.ndarray, seed: int = 1) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_docs: int = TRAIN_DOCS, text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """Fit on at most train_docs documents with a label, chosen by a hash of their ids.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES, text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """Fit on at most train_docs documents with a label and train_passages passages, in the order of a hash of their ids.
 
-    labels holds only rows that may be learned from; of a repeated id the
-    largest label counts. Passage features are computed on the executors, and
-    what reaches the driver is bounded by train_docs and TRAIN_PASSAGES.
+    labels holds only rows that may be learned from. Of an id's labels the
+    largest counts, and of rows that repeat an id the one with the smallest
+    text; ids may be of any type, null ids and labels are left out, null texts
+    are empty. Documents are in the sample as a whole; those after which
+    train_passages would be exceeded are not. Without a label the score is
+    the same for all texts. Other columns are not read. Passage features are
+    computed on the executors, and what reaches the driver is bounded.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    chosen = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(train_docs))
-    rows = docs.select(id_col, text_col).join(chosen, F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "_label", "_id")
+    known = labels.select(F.col(id_col).cast("string").alias("key"), F.col(label_col).cast("int").alias("label")).where("key IS NOT NULL AND label IS NOT NULL").groupBy("key").agg(F.max("label").alias("label"))
+    order = F.xxhash64("key"), F.col("key")
+    chosen = F.broadcast(known.orderBy(*order).limit(train_docs))
+    texts = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(chosen, "key").groupBy("key", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            got = []
-            for t in texts_of(b):
-                parts = passages(t)
-                if len(parts) > TRAIN_PASSAGES:
-                    parts = [parts[i] for i in np.linspace(0, len(parts) - 1, TRAIN_PASSAGES).astype(int)]
-                got.append(features(parts).astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.int64()), b.column("_label"), pa.array(got, pa.binary())], names=["id", "label", "bag"])
-
-    got = sorted(mapped(rows, run, "id bigint, label int, bag binary").limit(2 * train_docs).collect(), key=lambda r: (r["id"], r["bag"]))
+            bags = [passages(t) for t in texts_of(b)]
+            made = pa.array([features(parts).astype(np.float16).tobytes() for parts in bags], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label"), pa.array([len(parts) for parts in bags], pa.int32()), made], names=["key", "label", "n", "bag"])
+
+    sample = stage(mapped(rows, run, "key string, label int, n int, bag binary"), "quality-sample")
+    # At most train_docs rows are added up in one task.
+    fits = sample.where(F.col("n") <= train_passages).withColumn("total", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("total") <= train_passages)
+    got = sorted(fits.select("key", "label", "bag").collect(), key=lambda r: r["key"])
+    unstage(sample)
     return fit([np.frombuffer(r["bag"], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in got], np.array([r["label"] for r in got], np.float32))
 
 
 def scores(model: Model, texts: list[str]) -> np.ndarray:
-    """The scores of whole texts. A long text's passages are encoded in blocks."""
+    """The scores of whole texts, to nine places.
+
+    Passages of many texts are encoded together, in doubles, so that what
+    else is in a block changes no place that is kept.
+    """
+    model = Model(*(np.asarray(getattr(model, f.name), np.float64) for f in fields(Model)))
     bags = [passages(t) for t in texts]
     out = np.empty(len(texts))
     at = 0
@@ -174,7 +185,7 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
             end += 1
         x = features([p for bag in bags[at:end] for p in bag])
         starts = np.concatenate([[0], np.cumsum([len(bag) for bag in bags[at:end]])[:-1]]).astype(int)
-        out[at:end] = model.forward(x, starts)[0]
+        out[at:end] = np.round(model.forward(x.astype(np.float64), starts)[0], 9)
         at = end
     return out
 
@@ -182,8 +193,11 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
 def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and a score from 0 to 1 for each whole text.
 
-    Null texts score as empty ones do; repeated texts score alike; an empty
-    table gives an empty table. Only the text is an input.
+    Null texts score as empty ones do; repeated rows and equal texts score
+    alike; very long texts are scored whole, in blocks of passages; an empty
+    table gives an empty table. Only the text is an input. Columns that are
+    not kept don't appear, so only kept ones could clash with name, which is
+    the caller's.
     """
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some 40 kB

@@ -38,9 +38,9 @@ UNLABELLED = 8000
 #: Terms that the classifier may use.
 TERMS = 400
 #: A term is used if it is in so many toxic examples and, beyond chance, so many times commoner there.
-LEAST_EXAMPLES = 4
+LEAST_EXAMPLES = 3
 LEAST_LIFT = 3.0
-LEAST_Z = 2.5
+LEAST_G = 12.0
 STEPS = 800
 
 
@@ -119,7 +119,7 @@ def _terms(docs: DataFrame) -> DataFrame:
                 names=["id", "positive", "words", "counts", "n_words"],
             )
 
-    return mapped(docs, run, "id bigint, positive boolean, words array<string>, counts array<int>, n_words int")
+    return mapped(docs, run, "id string, positive boolean, words array<string>, counts array<int>, n_words int")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id") -> Model:
@@ -127,19 +127,26 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
 
     labels holds only rows that may be learned from, docs only documents that
     may be looked at. The class prior is the share of label 1 among labels;
-    labels 0 are otherwise not used, their documents are unlabelled text. Without a toxic
-    example all scores are low.
+    labels 0 are otherwise not used, their documents are unlabelled text. Of
+    an id's labels the largest counts, and of rows that repeat an id the one
+    with the smallest text; ids may be of any type, null ids and labels are
+    left out, null texts are empty, texts are read whole. Without a toxic
+    example all scores are low. Other columns are not read.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.col(label_col).cast("int")), F.lit(0))).first()
+    known = labels.select(F.col(id_col).cast("string").alias("key"), F.col(label_col).cast("int").alias("label")).where("key IS NOT NULL AND label IS NOT NULL").groupBy("key").agg(F.max("label").alias("label"))
+    n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = (n_toxic + 1) / (n + 2)
-    toxic = known.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("toxic_id")).distinct()
-    mixed = F.xxhash64("id"), "id"
-    ids = docs.select(F.col(id_col).cast("bigint").alias("id")).where("id IS NOT NULL")
-    p_ids = ids.join(toxic, F.col("id") == F.col("toxic_id"), "left_semi").orderBy(*mixed).limit(POSITIVES)
-    u_ids = ids.orderBy(*mixed).limit(UNLABELLED)  # of all text, so that the prior is its toxic share
-    chosen = F.broadcast(p_ids.withColumn("positive", F.lit(True)).unionByName(u_ids.withColumn("positive", F.lit(False))).select(F.col("id").alias("chosen_id"), "positive").distinct())
-    sample = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(chosen, F.col("id") == F.col("chosen_id")).select("id", "text", "positive")
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    mixed = F.xxhash64("id"), F.col("id")
+    toxic = known.where("label = 1").select(F.col("key").alias("id")).orderBy(*mixed)
+    # Ids that repeat are one before the sample is cut. Only ids with a small hash, some times as many as are
+    # wanted, take part: the smallest are among them.
+    share = min(1.0, 4 * UNLABELLED / max(1, docs.count()))
+    small = texts.select("id").where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.lit(min((1 << 63) - 1, int(share * (1 << 63)))))
+    u_ids = small.distinct().orderBy(F.shiftrightunsigned(F.xxhash64("id"), 1), "id").limit(UNLABELLED)  # of all text, so that the prior is its toxic share
+    p_ids = toxic.join(texts.select("id"), "id", "left_semi").orderBy(*mixed).limit(POSITIVES)
+    chosen = F.broadcast(p_ids.withColumn("positive", F.lit(True)).unionByName(u_ids.withColumn("positive", F.lit(False))))
+    sample = texts.join(chosen, "id").groupBy("id", "positive").agg(F.min("text").alias("text"))
     rows = stage(_terms(sample), "toxicity-sample")
     n_p, n_u = (int(v or 0) for v in rows.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first())
     if not n_p or not n_u:
@@ -148,8 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
     # How often negative text holds the term: the unlabelled rate less the toxic part of it.
     rate_p, rate_u = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1)
     rate_n = F.greatest((rate_u - prior * rate_p) / (1 - prior), F.lit(0.5 / (n_u + 1)))
-    z = (rate_p - rate_n) / F.sqrt(rate_n * (1 - rate_n) / n_p + rate_p * (1 - rate_p) / n_p + 1e-12)
-    chosen_terms = [r["word"] for r in seen.where((F.col("p") >= LEAST_EXAMPLES) & (rate_p > LEAST_LIFT * rate_n)).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(TERMS).collect()]
+    # The likelihood ratio, so that what only a few examples hold and no other text counts, too.
+    g = 2 * n_p * (rate_p * F.ln(rate_p / rate_n) + (1 - rate_p) * F.ln((1 - rate_p) / (1 - rate_n)))
+    chosen_terms = [r["word"] for r in seen.where((F.col("p") >= LEAST_EXAMPLES) & (rate_p > LEAST_LIFT * rate_n)).withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "word").limit(TERMS).collect()]
     place = {t: i for i, t in enumerate(sorted(chosen_terms))}
     wanted = F.array(*map(F.lit, place)) if place else F.array().cast("array<string>")
     held = F.map_filter(F.map_from_arrays("words", "counts"), lambda k, _: F.array_contains(wanted, k))
@@ -165,8 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
 def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and a score from 0 to 1 for each whole text.
 
-    Null texts score as empty ones do; repeated texts score alike; an empty
-    table gives an empty table. Only the text is an input.
+    Null texts score as empty ones do; repeated rows and equal texts score
+    alike; very long texts count whole; an empty table gives an empty table.
+    Only the text is an input. Columns that are not kept don't appear, so only
+    kept ones could clash with name, which is the caller's.
     """
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS words
