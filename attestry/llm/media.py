@@ -2,8 +2,8 @@
 
 Each task writes one tar shard with a member for every different payload it
 meets, named by the payload's SHA-256 digest. Rows carry digest, shard, offset
-and length of the member's data. Metadata come from range reads of the first
-bytes of a member, and only what needs samples reads the rest.
+and length of the member's data. Width, height and bits come from range reads
+of the first bytes of a member, and only what needs samples reads the rest.
 
 A payload is stored as an 8-bit grey PNG of ROW samples a line: lossless, and
 readable by any image library.
@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.llm.common import Batches, fresh_path, mapped, texts_of
+from attestry.llm.common import Batches, fresh_path, mapped, stage, texts_of
 
 #: Samples in a line of the picture; payloads are padded to a multiple of it.
 ROW = 64
@@ -86,11 +87,19 @@ def feature(payload: bytes) -> str:
     return f"lines={len(x) // ROW};mean={x.mean():.3f};dev={x.std():.3f};zero={share[0]:.5f};step={step:.3f};bits={entropy:.4f}"
 
 
+#: What Spark and Arrow call the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss", "wasbs": "abfss"}
+#: Bytes of members that a task reads back.
+TASK_BYTES = 64 << 20
+
+
 class _Store:
-    """Files of the shared folder, by URI or by plain path."""
+    """Files of the shared folder, by URI or by plain path; stores as Arrow's file systems reach them."""
 
     def __init__(self, root: str):
-        self.files, self.root = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        scheme, colon, rest = root.partition(":")
+        uri = f"{SCHEMES.get(scheme, scheme)}{colon}{rest}"
+        self.files, self.root = fs.FileSystem.from_uri(uri) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
 
     def write(self, name: str):
         self.files.create_dir(self.root, recursive=True)
@@ -172,8 +181,15 @@ def _by_shard(b: pa.RecordBatch) -> dict[str, list[tuple[int, int, int]]]:
     return out
 
 
+def spread(index: DataFrame) -> DataFrame:
+    """The index dealt to as many tasks as the members' bytes are worth, neighbours in a shard together and in order."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return index.repartition(tasks, "shard", F.floor(F.col("offset") / (TASK_BYTES // 8))).sortWithinPartitions("shard", "offset")
+
+
 def read_back(index: DataFrame, root: str, id_col: str = "doc_id") -> DataFrame:
-    """Per row of the index: what the stored bytes hold.
+    """Per row of an index with metadata: what the stored bytes hold.
 
     payload_sha256 and tail_crc32 (of the last ROW bytes) are of the samples
     read back, media_bytes and media_sha256 of the stored form. A payload that
@@ -189,29 +205,27 @@ def read_back(index: DataFrame, root: str, id_col: str = "doc_id") -> DataFrame:
                 with store.read(name) as f:
                     for i, at, n in members:
                         if last[0] != (name, at):
-                            width, height, _ = png_header(f.read_at(min(HEADER_BYTES, n), at))
                             stored = f.read_at(n, at)
                             payload = from_png(stored)
                             digest = hashlib.sha256(payload).hexdigest()
-                            last = ((name, at), (len(payload), digest, zlib.crc32(payload[-ROW:]), n, hashlib.sha256(stored).hexdigest(), feature(payload), width, height))
+                            last = ((name, at), (len(payload), digest, zlib.crc32(payload[-ROW:]), n, hashlib.sha256(stored).hexdigest(), feature(payload)))
                         if last[1][1] != digests[i]:
                             raise ValueError(f"{name} at {at}: the payload is not the one of digest {digests[i]}")
                         rows.append((i, last[1]))
             rows.sort()
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("n_bytes"), *(pa.array([r[1][k] for r in rows], t) for k, t in enumerate(kinds))], names=schema.names)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("n_bytes"), *(pa.array([r[1][k] for r in rows], t) for k, t in enumerate(kinds)), b.column("width"), b.column("height")], names=schema.names)
 
-    return mapped(index.select(id_col, "digest", "shard", "offset", "length", "n_bytes"), run, schema)
+    return mapped(index.select(id_col, "digest", "shard", "offset", "length", "n_bytes", "width", "height"), run, schema)
 
 
 def store_and_read(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Store all payloads in the shared folder, then read them back.
+    """Store all payloads in the shared folder, then read them back: first the heads for metadata, then the samples.
 
     Null and empty texts are a payload of ROW zeros; repeated texts give equal
-    values; an empty table gives an empty table; other columns are not read.
+    values; very long texts are one payload; an empty table gives an empty
+    table; other columns are not read.
     """
-    spark = docs.sparkSession
-    root = fresh_path(spark, "media")
-    index = write_shards(docs, f"{root}/shards", text_col, id_col)
-    index.write.parquet(f"{root}/index")
-    return read_back(spark.read.schema(index.schema).parquet(f"{root}/index"), f"{root}/shards", id_col)
+    root = fresh_path(docs.sparkSession, "media")
+    index = stage(write_shards(docs, f"{root}/shards", text_col, id_col), "media-index")
+    return read_back(read_metadata(spread(index), f"{root}/shards"), f"{root}/shards", id_col)

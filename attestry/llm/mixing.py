@@ -16,19 +16,18 @@ document compares its own. No text moves.
 
 from __future__ import annotations
 
-import heapq
 import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.llm.common import WORD, stage
+from attestry.llm.common import WORD, free_name, stage
 
 #: Times that the mix may hold a document.
 REPEATS = 3
-#: More different patterns than this are an error: the flow runs on the driver.
-MOST_PATTERNS = 20_000
+#: More different sets of sources than this are an error: the flow runs on the driver, for so many in some seconds.
+MOST_PATTERNS = 200_000
 #: The highest bits of the hash, 2 ** 16 slots in a pattern.
 SLOT_SHIFT = 48
 
@@ -64,66 +63,88 @@ def capped_targets(sizes: dict[str, int], weights: dict[str, float], most: float
 def min_cost_flow(capacity: list[int], member: list[list[int]], quota: list[int], repeats: int = REPEATS) -> list[dict[int, int]]:
     """For each pattern: source -> words, of the cheapest flow among the largest.
 
-    Successive shortest paths with potentials over start -> pattern (an edge
-    for each repetition, costing 0, 1, 2 ...) -> source -> end.
+    Words of a pattern's k-th repetition cost k, and nothing else costs. A
+    path that adds to a flow leaves the start once, so it costs what its first
+    edge does: the cheapest flow is the largest one with the patterns' words
+    once, made larger with their words twice, and so on. Each is found in
+    blocking flows along shortest paths.
     """
-    n_p, n_s = len(capacity), len(quota)
-    start, end = n_p + n_s, n_p + n_s + 1
-    to: list[int] = []
-    room: list[int] = []
-    cost: list[int] = []
-    out: list[list[int]] = [[] for _ in range(end + 1)]
-
-    def edge(a: int, b: int, r: int, c: int) -> None:
-        out[a].append(len(to))
-        to.append(b)
-        room.append(r)
-        cost.append(c)
-        out[b].append(len(to))
-        to.append(a)
-        room.append(0)
-        cost.append(-c)
-
-    for p in range(n_p):
-        for k in range(repeats):
-            edge(start, p, capacity[p], k)
-    routes = []
-    for p in range(n_p):
-        for s in member[p]:
-            routes.append((p, s, len(to)))
-            edge(p, n_p + s, repeats * capacity[p], 0)
-    for s in range(n_s):
-        edge(n_p + s, end, quota[s], 0)
-
-    height = [0] * (end + 1)
-    while True:
-        far = [float("inf")] * (end + 1)
-        came = [-1] * (end + 1)
-        far[start], heap = 0, [(0, start)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for e in out[a]:
-                if room[e] > 0 and (x := d + cost[e] + height[a] - height[to[e]]) < far[to[e]]:
-                    far[to[e]], came[to[e]] = x, e
-                    heapq.heappush(heap, (x, to[e]))
-        if came[end] < 0:
-            break
-        height = [h + (f if f < float("inf") else far[end]) for h, f in zip(height, far)]
-        path, at = [], end
-        while at != start:
-            path.append(came[at])
-            at = to[came[at] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
-    flow: list[dict[int, int]] = [{} for _ in range(n_p)]
-    for p, s, e in routes:
-        if room[e ^ 1]:
-            flow[p][s] = room[e ^ 1]
-    return flow
+    left, open_ = [0] * len(capacity), list(quota)  # words that a pattern may still send, that a source may still take
+    sent: list[dict[int, int]] = [{} for _ in capacity]
+    of_source: list[list[int]] = [[] for _ in quota]
+    for p, sources in enumerate(member):
+        for s in sources:
+            of_source[s].append(p)
+    for _ in range(repeats):
+        left = [x + c for x, c in zip(left, capacity)]
+        while _blocking_flow(left, open_, member, of_source, sent):
+            pass
+    return [{s: w for s, w in sorted(to.items()) if w} for to in sent]
+
+
+def _blocking_flow(left: list[int], open_: list[int], member: list[list[int]], of_source: list[list[int]], sent: list[dict[int, int]]) -> bool:
+    """Send what fits along the shortest paths there are; False if there is none.
+
+    A path goes from a pattern with words left to a source, on to a pattern
+    whose words that source gives back, to another source that takes them, and
+    ends at a source with room.
+    """
+    level_p, level_s = [-1] * len(left), [-1] * len(open_)
+    front, depth, ends = [p for p, x in enumerate(left) if x > 0], 0, False
+    for p in front:
+        level_p[p] = 0
+    while front and not ends:
+        depth += 1
+        reached = []
+        for p in front:
+            for s in member[p]:
+                if level_s[s] < 0:
+                    level_s[s] = depth
+                    reached.append(s)
+                    ends = ends or open_[s] > 0
+        depth += 1
+        front = []
+        for s in reached if not ends else ():
+            for p in of_source[s]:
+                if level_p[p] < 0 and sent[p].get(s):
+                    level_p[p] = depth
+                    front.append(p)
+    if not ends:
+        return False
+    next_s, next_p = [0] * len(left), [0] * len(open_)  # the neighbour to try next
+    for root in [p for p, x in enumerate(level_p) if x == 0]:
+        path = [root]  # patterns and sources by turns
+        while path and left[root] > 0:
+            x = path[-1]
+            if len(path) % 2:
+                while next_s[x] < len(member[x]) and level_s[member[x][next_s[x]]] != level_p[x] + 1:
+                    next_s[x] += 1
+                if next_s[x] < len(member[x]):
+                    path.append(member[x][next_s[x]])
+                else:
+                    path.pop()
+                    if path:
+                        next_p[path[-1]] += 1
+            elif open_[x] > 0:
+                push = min(left[root], open_[x], *(sent[path[i]][path[i - 1]] for i in range(2, len(path), 2)))
+                left[root] -= push
+                open_[x] -= push
+                for i in range(0, len(path), 2):
+                    to = sent[path[i]]
+                    to[path[i + 1]] = to.get(path[i + 1], 0) + push
+                    if i:
+                        to[path[i - 1]] -= push
+                path = [root]
+            else:
+                some = of_source[x]
+                while next_p[x] < len(some) and not (level_p[some[next_p[x]]] == level_s[x] + 1 and sent[some[next_p[x]]].get(x)):
+                    next_p[x] += 1
+                if next_p[x] < len(some):
+                    path.append(some[next_p[x]])
+                else:
+                    path.pop()
+                    next_s[path[-1]] += 1
+    return True
 
 
 @dataclass
@@ -137,10 +158,11 @@ class Mix:
 
     def copies(self, docs: DataFrame, pattern: Column, key: Column, name: str = "copies") -> DataFrame:
         """docs with an array column: for each copy that the mix takes, its source's key."""
-        wide = docs.withColumn("_mix_pattern", pattern).withColumn("_mix_key", key)
-        small = F.broadcast(self.intervals.withColumnsRenamed({"pattern": "_mix_of", "parts": "_mix_parts"}))  # a row for each pattern, at most MOST_PATTERNS
-        got = wide.join(small, F.col("_mix_pattern") == F.col("_mix_of"), "left")
-        parts = F.filter("_mix_parts", lambda x: (x["low"].isNull() | (F.col("_mix_key") > x["low"])) & (x["high"].isNull() | (F.col("_mix_key") <= x["high"])))
+        of, at, to, parts = (free_name(docs, n) for n in ("mix_pattern", "mix_key", "mix_of", "mix_parts"))
+        wide = docs.withColumn(of, pattern).withColumn(at, key)
+        small = F.broadcast(self.intervals.withColumnsRenamed({"pattern": to, "parts": parts}))  # a row for each pattern, at most MOST_PATTERNS
+        got = wide.join(small, F.col(of) == F.col(to), "left")
+        parts = F.filter(parts, lambda x: (x["low"].isNull() | (F.col(at) > x["low"])) & (x["high"].isNull() | (F.col(at) <= x["high"])))
         return got.withColumn(name, F.coalesce(F.transform(parts, lambda x: x["source"]), F.array().cast("array<string>"))).select(*docs.columns, name)
 
 
@@ -243,12 +265,17 @@ def mix_report(docs: DataFrame, weights=(5, 2, 1), seed: int = 6, source_col: st
 
 
 def mix_documents(docs: DataFrame, weights=(5, 2, 1), seed: int = 6, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it, with the columns of docs.
+    """The mixed corpus: each document as often as the mix takes it, with the columns of docs, whatever their names.
 
-    Documents without a word have nothing to take and are left out.
+    Documents without a word (null and empty texts) have nothing to take and
+    are left out. Null sources are one source, the last. Rows that repeat an
+    id with its text, or a text without an id, have one place in the order and
+    are taken alike. Very long texts count whole. An empty table gives an
+    empty table.
     """
     rows = narrow(docs, single_source(docs, source_col), seed, text_col, id_col)
     mix = solve(rows, cycle(tuple(weights)))
     text = docs[text_col].cast("string")
-    got = mix.copies(docs, pattern_key(single_source(docs, source_col)), hash_key(seed, docs[id_col], text), "_mix_copies")
-    return got.where(word_count(F.col(text_col)) > 0).withColumn("_mix_copy", F.explode("_mix_copies")).select(*docs.columns)
+    copies, copy = free_name(docs, "mix_copies"), free_name(docs, "mix_copy")
+    got = mix.copies(docs, pattern_key(single_source(docs, source_col)), hash_key(seed, docs[id_col], text), copies)
+    return got.where(word_count(F.col(text_col)) > 0).withColumn(copy, F.explode(copies)).select(*docs.columns)

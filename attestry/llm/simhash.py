@@ -124,7 +124,8 @@ def similar_documents(docs: DataFrame, shingle: int = COMPARED_SHINGLE, similari
     has 8 million variants. All pairs are verified on the sets. In a band, a
     class is compared with the smallest of those that agree.
 
-    Null and empty texts have equal (empty) sets. Rows that repeat an id are
+    Null and empty texts have equal (empty) sets; a text of fewer words has
+    one shingle of them all. Rows that repeat an id are
     one document, rows without an id have no row. Very long texts count whole;
     an empty table gives an empty table; other columns are not read.
     """
@@ -132,7 +133,7 @@ def similar_documents(docs: DataFrame, shingle: int = COMPARED_SHINGLE, similari
 
     def keys(batches: Batches) -> Batches:
         for b in batches:
-            tokens, ends = tokens_of(texts_of(b), shingle)
+            tokens, ends = tokens_of(texts_of(b), shingle, whole=True)
             hashes = [tokens[s:e] for s, e in zip(ends, ends[1:])]
             fp = np.array([fingerprint(h) for h in hashes], np.uint64)
             sets = [np.unique(h) for h in hashes]
@@ -149,7 +150,7 @@ def similar_documents(docs: DataFrame, shingle: int = COMPARED_SHINGLE, similari
         for b in batches:
             pairs = list(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
             held = dict(zip((i for i, _ in pairs), b.column("text").to_pylist())) | dict(zip((j for _, j in pairs), b.column("other").to_pylist()))
-            tokens, ends = tokens_of([zlib.decompress(x).decode() for x in held.values()], shingle)
+            tokens, ends = tokens_of([zlib.decompress(x).decode() for x in held.values()], shingle, whole=True)
             sets = {i: np.unique(tokens[s:e]) for i, s, e in zip(held, ends, ends[1:])}
             good = pa.array([minhash.similar(sets[i], sets[j], similarity) for i, j in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])

@@ -116,6 +116,11 @@ def test_tokens_are_those_of_words(text):
     assert np.diff(offsets).tolist() == [2, max(0, len(words) - 4), 0]
     alone = [shingles.tokens_of([" ".join(words[i : i + 5])], 5)[0].tolist() for i in range(max(0, len(words) - 4))]
     assert [[x] for x in got[2:].tolist()] == alone
+    texts = [text, "one", "one two", "two one", "one two three four", "", "a b c d e f", "One"]
+    got, offsets = shingles.tokens_of(texts, 5, whole=True)
+    assert np.diff(offsets).tolist() == [max(min(1, len(words)), len(words) - 4), 1, 1, 1, 1, 0, 2, 1]
+    short = got[offsets[1] : offsets[5]].tolist()
+    assert len(set(short)) == 4 and got[-1] == short[0]
 
 
 def test_repeated_passages(spark):
