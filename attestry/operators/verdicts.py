@@ -56,12 +56,12 @@ def band(score: Column) -> Column:
     return F.when(score.isNull(), "INSUFFICIENT_DATA").when(score >= 75, "LIKELY_COMPLIANT").when(score >= 50, "PARTIAL").otherwise("POTENTIAL_NON_COMPLIANCE")
 
 
-def overall(rows: DataFrame, site: str = "site") -> DataFrame:
-    """(site, overall_score, overall_verdict, n_scored, n_rows): the severity-weighted mean, rounded half-even; null if nothing was scored."""
+def overall(rows: DataFrame, site: str = "site", extra: tuple[Column, ...] = ()) -> DataFrame:
+    """(site, overall_score, overall_verdict, n_scored, n_rows): the severity-weighted mean, rounded half-even; null if nothing was scored. extra: more aggregates of a site's rows."""
     ok = is_scored(F.col("score"), F.col("verdict"))
     w = F.when(ok, severity_weight(F.col("severity")))
     mean = F.try_divide(F.sum(w * F.col("score")), F.sum(w))
-    out = rows.groupBy(site).agg(F.bround(mean, 0).cast("int").alias("overall_score"), F.count_if(ok).alias("n_scored"), F.count("*").alias("n_rows"))
+    out = rows.groupBy(site).agg(F.bround(mean, 0).cast("int").alias("overall_score"), F.count_if(ok).alias("n_scored"), F.count("*").alias("n_rows"), *extra)
     return out.withColumn("overall_verdict", band(F.col("overall_score")))
 
 

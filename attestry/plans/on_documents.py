@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions import text as X
 from attestry.functions import vocab
 from attestry.functions.fuzzy import excerpt
-from attestry.operators import grounding, retrieval
+from attestry.operators import grounding, policies, retrieval
 from attestry.plans.registry import query, table
 
 #: A stand-in for headings: a line that begins with a word in Th.
@@ -44,12 +44,16 @@ def q_norm_text(spark, d):
     return docs(spark, d).select("doc_id", F.md5(X.norm(F.col("text"))).alias("digest"))
 
 
-@query("SELECT source, count(*) AS n, sum(least(length(text), 3000) + CASE WHEN length(text) > 3000 THEN 12 ELSE 0 END + length('=== ' || doc_id || ' ===') + 2)::BIGINT AS n_chars FROM documents GROUP BY 1")
+@query("""WITH f AS (SELECT doc_id AS site, 0 AS pos, 'privacy.md' AS name, text FROM documents UNION ALL SELECT conv_id, 1 + turn, role || '.md', text FROM conversations),
+b AS (SELECT site, pos, name, '--- ' || name || ' ---' || chr(10) || CASE WHEN length(text) > 60000 THEN substr(text, 1, 60000) || chr(10) || '[... truncated ...]' ELSE coalesce(text, '') END AS block FROM f),
+t AS (SELECT site, string_agg(block, chr(10) || chr(10) ORDER BY pos, name, block) AS t, count(*) AS n FROM b GROUP BY 1) SELECT c_custkey AS site, coalesce(n, 0)::BIGINT AS n_files, CASE WHEN t IS NULL THEN 'none' ELSE md5(t) END AS digest FROM customer LEFT JOIN t ON site = c_custkey""")
 def q_policy_context(spark, d):
-    # The lengths of the parts add up to that of the text, which no task needs to hold.
-    cut = F.least(F.length("text"), F.lit(3000)) + F.when(F.length("text") > 3000, 12).otherwise(0)
-    banner = F.length(F.concat(F.lit("=== "), F.col("doc_id").cast("string"), F.lit(" ==="))) + 2
-    return docs(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.sum(cut + banner).cast("bigint").alias("n_chars"))
+    """Customers stand for sites, the document and the turns with a site's number for its policy files."""
+    own = docs(spark, d).select(F.col("doc_id").alias("site"), F.lit(0).cast("bigint").alias("pos"), F.lit("privacy.md").alias("name"), "text")
+    more = table(spark, d, "conversations").select(F.col("conv_id").alias("site"), (F.col("turn") + 1).cast("bigint").alias("pos"), F.concat("role", F.lit(".md")).alias("name"), "text")
+    sites = table(spark, d, "customer").select(F.col("c_custkey").alias("site"))
+    got = policies.policy_text(own.unionByName(more), sites)
+    return got.select("site", "n_files", F.when(F.col("policy_text") == policies.NO_POLICY, "none").otherwise(F.md5("policy_text")).alias("digest"))
 
 
 @query("SELECT b.item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1")
@@ -126,7 +130,11 @@ def q_flatten_union(spark, d):
     return w.groupBy("conv_id").agg(F.count_distinct("w").alias("n_words"), F.min("w").alias("first_word"), F.max("w").alias("last_word"))
 
 
-LAWS = "SELECT unnest(['pre_consent_tracking', 'consent_mechanism_validity', 'tracking_without_consent', 'disclosure_of_data_collected', 'disclosure_of_third_parties', 'cookie_retention_period', 'right_to_withdraw', 'cross_border_transfers', 'childrens_data', 'data_subject_rights', 'lawful_basis', 'data_minimisation', 'dpo_contact', 'policy_versioning', 'security_headers']) AS dimension, unnest(['GDPR Art 7; PECR Reg 6; EPRIVACY-IE Reg 5', 'GDPR Art 7(1), 7(2), 4(11)', 'PECR Reg 6; EPRIVACY-IE Reg 5; ePrivacy Art 5(3)', 'GDPR Art 13(1)(c)', 'GDPR Art 13(1)(e)', 'GDPR Art 5(1)(e), 13(2)(a)', 'GDPR Art 7(3)', 'GDPR Art 44 (Ch V, Art 44-49); GDPR Art 13(1)(f)', 'GDPR Art 8; DPDP §9', 'GDPR Art 13(2)(b)-(f), Art 15-21', 'GDPR Art 6, 13(1)(c)', 'GDPR Art 5(1)(c)', 'GDPR Art 13(1)(a)(b), Art 37', 'GDPR Art 13 (transparency good practice)', 'GDPR Art 5(1)(f), Art 32']) AS refs"
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+LAWS = f"SELECT unnest({_sql_list(x[0] for x in vocab.DIMENSIONS)}) AS dimension, unnest({_sql_list(x[1] for x in vocab.DIMENSIONS)}) AS refs"
 _REF = r"'(?i)(EPRIVACY-IE|GDPR|PECR|DPDP|CCPA|ePrivacy)\s+(?:Art|Article|Reg|Regulation|§)\.?\s*(\d+[A-Za-z]?)'"
 
 

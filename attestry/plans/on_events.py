@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import cookies as C
 from attestry.functions import text as X
-from attestry.operators import trackers, verdicts
+from attestry.operators import policies, trackers, verdicts
 from attestry.plans.registry import query, table
 
 E_SQL = "e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
@@ -137,3 +137,23 @@ def q_render_context(spark, d):
     grouped = ranked.groupBy("user_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("rk") <= 12, F.col("item")))).alias("shown"))
     more = F.when(F.col("n") > 12, F.array(F.format_string("… and %d more", F.col("n") - 12))).otherwise(F.array().cast("array<string>"))
     return grouped.select("user_id", F.array_join(F.concat(X.capped_list(F.col("shown"), 12), more), "\n").alias("context"))
+
+
+@query("""WITH m AS (SELECT user_id, max(event_id) FILTER (WHERE event_type = CASE WHEN user_id % 2 = 0 THEN 'purchase' ELSE 'none' END) AS hit, min(event_id) AS first FROM events GROUP BY 1)
+SELECT m.user_id, e.event_type AS url, CASE WHEN hit IS NULL THEN 'fallback_first_document' ELSE 'final_url' END AS found_by FROM m JOIN events e ON e.event_id = coalesce(hit, first)""")
+def q_main_response(spark, d):
+    e = events(spark, d).select("user_id", F.col("event_id").alias("pos"), F.col("event_type").alias("url"))
+    wanted = e.select("user_id").distinct().withColumn("final_url", F.when(F.col("user_id") % 2 == 0, "purchase").otherwise("none"))
+    return policies.main_response(e, wanted, "user_id")
+
+
+ANSWERS = """CASE event_id % 5 WHEN 0 THEN '```json\n{"privacy_policy": {"url": "https://u/' || k || '", "reason": "r"}}\n```' WHEN 1 THEN '{"privacy_policy": {"reason": "no url"}, "cookie_policy": {"url": "c' || k || '"}}'
+ WHEN 2 THEN 'no json' WHEN 3 THEN '{"privacy_policy": "text", "cookie_policy": {"looks_correct": true}}' ELSE '{"privacy_policy": {"looks_correct": false, "reason": "x"}, "cookie_policy": {"url": ""}}' END"""
+
+
+@query(f"""WITH {E_SQL} SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'https://u/' || k END AS privacy_url, CASE event_id % 5 WHEN 1 THEN 'c' || k END AS cookie_url, CASE event_id % 5 WHEN 4 THEN false END AS privacy_ok, CASE event_id % 5 WHEN 3 THEN true END AS cookie_ok FROM e""")
+def q_answer_filters(spark, d):
+    raw = events(spark, d).select("event_id", F.expr(ANSWERS).alias("raw"))
+    got = raw.select("event_id", policies.picked_urls(F.col("raw")).alias("u"), policies.checked_documents(F.col("raw")).alias("c"))
+    at = lambda m, k, f: F.try_element_at(m, F.lit(k))[f]
+    return got.select("event_id", at("u", "privacy_policy", "url").alias("privacy_url"), at("u", "cookie_policy", "url").alias("cookie_url"), at("c", "privacy_policy", "looks_correct").alias("privacy_ok"), at("c", "cookie_policy", "looks_correct").alias("cookie_ok"))

@@ -92,11 +92,10 @@ def q_status_counts(spark, d):
 @query(f"""WITH {S_SQL}, g AS (SELECT site, count(*) FILTER (WHERE verdict = 'FAIL') AS fails, count(*) AS dimensions FROM v GROUP BY 1)
 SELECT r_name AS sector, count(*) AS n, round(avg(overall_score), 4) AS mean_score, sum(fails)::BIGINT AS fails, sum(dimensions)::BIGINT AS dimensions, round(100 * sum(fails)::DOUBLE / sum(dimensions), 4) AS fail_pct FROM o JOIN g USING (site) JOIN customer ON c_custkey = site JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1""")
 def q_sector_rollup(spark, d):
-    v = verdict_rows(spark, d)
-    g = v.groupBy("site").agg(F.count_if(F.col("verdict") == "FAIL").alias("fails"), F.count("*").alias("dimensions"))
+    more = F.count_if(F.col("verdict") == "FAIL").alias("fails"), F.count("*").alias("dimensions")
     sector = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("sector"))
     c = table(spark, d, "customer").join(sector, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("site"), "sector")
-    return R.by_sector(V.overall(v).withColumnRenamed("overall_score", "score").join(g, "site").join(c, "site"))
+    return R.by_sector(V.overall(verdict_rows(spark, d), extra=more).withColumnRenamed("overall_score", "score").join(c, "site"))
 
 
 C_SQL = f"{S_SQL}, c AS (SELECT site % 3 AS policies, overall_score AS score, CASE WHEN site % 3 = 1 OR site % 5 <> 0 THEN (site % 9) / 8.0::DOUBLE END AS grounding FROM o)"
@@ -198,6 +197,15 @@ def pairs(spark, d) -> DataFrame:
     return table(spark, d, "labels").join(docs, "doc_id", "left").select("lang", F.col("quality").alias("human"), F.col("toxic").alias("system"))
 
 
+@query("""WITH a AS (SELECT doc_id, quality, doc_id % 7 <> 0 AS known FROM labels), r AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 7 <> 0)
+SELECT quality AS human, count(*) AS annotated, count(r.doc_id) AS matched, count(*) - count(r.doc_id) AS missing FROM a LEFT JOIN r USING (doc_id) GROUP BY 1""")
+def q_matched_rows(spark, d):
+    human = table(spark, d, "labels").select("doc_id", F.col("quality").alias("human"))
+    system = table(spark, d, "documents").where("doc_id % 7 <> 0").select("doc_id", F.col("lang").alias("verdict")).dropDuplicates(["doc_id"])
+    m = A.matched(human, system, ["doc_id"])
+    return m.groupBy("human").agg(F.count("*").alias("annotated"), F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("missing"))
+
+
 @query(f"WITH {P_SQL} SELECT lang, count(*) AS n, count(*) FILTER (WHERE human = system) AS matches, round(count(*) FILTER (WHERE human = system) / count(*)::DOUBLE, 6) AS ratio FROM p GROUP BY 1")
 def q_agreement(spark, d):
     return A.agreement(pairs(spark, d), ["lang"])

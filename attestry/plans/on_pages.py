@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from attestry.functions import html as H
 from attestry.functions import text as X
 from attestry.functions import urls as U
-from attestry.operators import grounding, links
+from attestry.operators import grounding, links, policies
 from attestry.plans.registry import query, table
 
 FIRST_PARTY = "example.com"
@@ -180,3 +180,13 @@ def q_keep_first(spark, d):
 
     c = hosts(spark, d).select("host", U.url_path(F.col("url")).alias("path"), "url", "page_id", F.when(F.startswith("url", F.lit("https")), 0).otherwise(1).alias("src"))
     return keep_first(c, ["host", "path"], ["src", "page_id"]).select("host", "path", "url", "src")
+
+
+_CLICK = "CASE page_id % 4 WHEN 0 THEN 'About Us' WHEN 1 THEN 'Learn more about cookies' WHEN 2 THEN 'Full text' ELSE 'other' END"
+
+
+@query(f"""WITH {H_SQL}, c AS (SELECT page_id, {KIND_SQL} AS kind, {SCORE_SQL} AS score, {_CLICK} AS label, url FROM h) SELECT kind, count(*) AS candidates, count(*) FILTER (WHERE kind = 'other_policy' AND score = 0 AND regexp_matches(lower(url || ' ' || label), 'meta products|about us')) AS skipped FROM c GROUP BY 1""")
+def q_skipped_candidates(spark, d):
+    rows = table(spark, d, "pages").select(kind().alias("kind"), score().alias("score"), "url", F.expr(_CLICK).alias("label"))
+    skip = policies.is_marketing(F.col("kind"), F.col("score"), F.col("url"), F.col("label"))
+    return rows.groupBy("kind").agg(F.count("*").alias("candidates"), F.count_if(skip).alias("skipped"))
