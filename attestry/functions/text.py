@@ -104,6 +104,11 @@ def law_references(text: Column, pattern: str = vocab.LAW_REFERENCE) -> Column:
     return F.transform(zipped, lambda x: F.struct(x["regulation"].alias("regulation"), x["article"].alias("article")))
 
 
+def is_consent_control(text: Column, tokens=vocab.CONSENT_TOKENS) -> Column:
+    """Whether the text of an element that can be clicked is about consent."""
+    return any_of(F.lower(F.coalesce(text, F.lit(""))), list(tokens))
+
+
 def article_base(article: Column) -> Column:
     plain = F.trim(F.replace(article, F.lit("Article"), F.lit("")))
     return F.coalesce(F.nullif(F.regexp_extract(plain, r"^\d+[A-Za-z]?", 0), F.lit("")), article)

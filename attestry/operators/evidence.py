@@ -52,6 +52,18 @@ def _rule(flat: DataFrame, party: DataFrame, tracking: DataFrame, long_lived) ->
     return e.withColumn("session_cookie", F.col("lifetime_days").isNull()).withColumn("profiling", C.is_profiling(F.col("third_party"), F.col("is_tracker_domain"), long_lived)).drop("_d1", "_d2")
 
 
+def network_summary(requests: DataFrame, keys: list[str] = ("scan",)) -> DataFrame:
+    """keys with total, third-party and third-party POST requests, and the sorted hosts of third parties.
+
+    requests: keys, domain, method, third_party. Hosts are counted once
+    before they are gathered, so a list is as long as a capture has hosts.
+    """
+    third = F.coalesce("third_party", F.lit(False))
+    counts = requests.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(third).alias("third_party"), F.count_if(third & (F.upper("method") == "POST")).alias("third_party_posts"))
+    hosts = requests.where(third & F.col("domain").isNotNull()).select(*keys, "domain").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("domain")).alias("third_party_domains"))
+    return counts.join(hosts, list(keys), "left").withColumn("third_party_domains", F.coalesce("third_party_domains", F.array().cast("array<string>")))
+
+
 def script_set(browser: DataFrame, header: DataFrame) -> DataFrame:
     """Profiling cookies of the browser that no header set, profiling or not: by name and registrable domain."""
     return trackers.only_in_first(browser.where("profiling"), header, ["scan", "name", "etld1"])

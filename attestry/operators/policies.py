@@ -126,6 +126,16 @@ def checked_documents(raw: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull()))
 
 
+def compact_telemetry(telemetry: DataFrame, with_tags: bool = True) -> DataFrame:
+    """(scan, payload): the fields of telemetry that a model is shown, as JSON; requests and cookies themselves are left out."""
+    declared = [F.col("declared_vs_observed.policy_links").alias("policy_links")] + ([F.col("declared_vs_observed.meta_tags").alias("meta_tags")] if with_tags else [])
+    parts = [F.col("meta"), F.struct(*declared).alias("declared_vs_observed")]
+    if with_tags:
+        cookies = F.struct(F.col("observed_behavior.cookies.total").alias("total"), F.col("observed_behavior.cookies.third_party_count").alias("third_party_count"))
+        parts.append(F.struct(F.col("observed_behavior.network_summary").alias("network_summary"), cookies.alias("cookies")).alias("observed_behavior"))
+    return telemetry.select("scan", F.to_json(F.struct(*parts)).alias("payload"))
+
+
 def compact_text(text: Column, most: int = 40_000) -> Column:
     return F.substring(text, 1, most)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import cookies as C
 from attestry.functions import text as X
-from attestry.operators import policies, trackers, verdicts
+from attestry.operators import evidence, policies, trackers, verdicts
 from attestry.plans.registry import query, table
 
 E_SQL = "e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
@@ -90,12 +90,10 @@ def q_evidence_summary(spark, d):
     )
 
 
-@query("SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'view') AS third_party, count(*) FILTER (WHERE event_type = 'purchase') AS posts, string_agg(DISTINCT event_type, ' ' ORDER BY event_type) AS kinds FROM events GROUP BY 1")
+@query("SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'view') AS third_party, count(*) FILTER (WHERE event_type <> 'view' AND event_id % 3 = 0) AS third_party_posts, coalesce(string_agg(DISTINCT event_type, ' ' ORDER BY event_type) FILTER (WHERE event_type <> 'view'), '') AS hosts FROM events GROUP BY 1")
 def q_network_summary(spark, d):
-    return events(spark, d).groupBy("user_id").agg(
-        F.count("*").alias("total"), F.count_if(F.col("event_type") != "view").alias("third_party"), F.count_if(F.col("event_type") == "purchase").alias("posts"),
-        F.array_join(F.sort_array(F.collect_set("event_type")), " ").alias("kinds"),
-    )
+    requests = events(spark, d).select("user_id", F.col("event_type").alias("domain"), F.when(F.col("event_id") % 3 == 0, "post").otherwise("GET").alias("method"), (F.col("event_type") != "view").alias("third_party"))
+    return evidence.network_summary(requests, ["user_id"]).select("user_id", "total", "third_party", "third_party_posts", F.array_join("third_party_domains", " ").alias("hosts"))
 
 
 @query("SELECT user_id, count(*) < 60 OR count(*) FILTER (WHERE event_type = 'error' AND value > 10) = 0 AS blocked FROM events GROUP BY 1")

@@ -9,6 +9,8 @@ from attestry.functions import text as X
 from attestry.operators import agreement as A
 from attestry.operators import rollups as R
 from attestry.operators import verdicts as V
+from attestry.operators import verification
+from attestry.operators.evidence import DECLARED
 from attestry.plans.registry import query, table
 
 V_SQL = """v AS (SELECT o_orderkey AS id, o_custkey AS site, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS severity,
@@ -239,3 +241,40 @@ def q_binary_prf(spark, d):
 @query(f"WITH {P_SQL} SELECT human, count(*) FILTER (WHERE system = 0) AS system_0, count(*) FILTER (WHERE system = 1) AS system_1 FROM p GROUP BY 1")
 def q_confusion(spark, d):
     return A.confusion(pairs(spark, d), [0, 1])
+
+
+# Verification: orders stand for a report's dimensions, the events of users with a site's number for its evidence.
+
+VERIFY_SQL = f"""WITH {V_SQL}, r AS (SELECT id, site % 100 AS k, verdict, score, id % 7 = 0 AS cited, site % 100 % 3 <> 0 AS pol, id % 5 < 2 AS claim, id % 4 <> 2 AS behaviour, CASE id % 6 WHEN 0 THEN 'neglect' WHEN 1 THEN 'contrary' END AS disc FROM v),
+e AS (SELECT user_id % 100 AS k, bool_or(event_type = 'click') AS c, bool_or(event_type = 'purchase') AND bool_or(event_type = 'view') AS pv FROM events WHERE value > 45 GROUP BY 1),
+x AS (SELECT r.*, coalesce(c, false) AS c, coalesce(pv, false) AS pv FROM r LEFT JOIN e USING (k)),
+s AS (SELECT *, CASE WHEN NOT cited THEN 'N/A' WHEN id % 2 = 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS c1, CASE WHEN id % 3 = 0 THEN 'SUPPORTED' ELSE 'N/A' END AS c2,
+CASE WHEN NOT pol OR NOT claim THEN 'N/A' WHEN id % 5 = 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS c3, CASE WHEN NOT behaviour THEN 'N/A' WHEN (id % 4 = 0 AND c) OR (id % 4 = 3 AND pv) THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS c4,
+CASE WHEN (verdict = 'NOT_ADDRESSED' AND (cited OR score IS NOT NULL)) OR (disc = 'neglect' AND NOT (behaviour AND pol)) OR (disc = 'contrary' AND NOT (claim AND behaviour)) OR (verdict = 'PASS' AND score < 60) OR (verdict = 'PARTIAL' AND (score < 25 OR score > 85))
+OR (verdict = 'FAIL' AND score > 60) OR (verdict IN ('FAIL', 'PARTIAL') AND NOT claim AND NOT behaviour) THEN 'UNSUPPORTED' ELSE 'SUPPORTED' END AS c5 FROM x),
+g AS (SELECT *, NOT (c1 = 'UNSUPPORTED' OR c3 = 'UNSUPPORTED' OR (claim AND NOT pol) OR c4 = 'UNSUPPORTED' OR c5 = 'UNSUPPORTED') AS fine FROM s)
+SELECT 's' || k || '.test' AS site, count(*) AS dimensions, count(*) FILTER (WHERE fine) AS grounded, round_even(count(*) FILTER (WHERE fine) / count(*)::DOUBLE, 3) AS grounding_rate,
+{", ".join(f"count(*) FILTER (WHERE c{i} = 'UNSUPPORTED') AS c{i}_unsupported, count(*) FILTER (WHERE c{i} = 'N/A') AS c{i}_na" for i in range(1, 6))} FROM g GROUP BY k"""
+
+
+@query(VERIFY_SQL)
+def q_verify(spark, d):
+    site = lambda k: F.concat(F.lit("s"), (k % 100).cast("string"), F.lit(".test"))
+    i = F.col("id")
+    breach = F.struct(F.when(i % 7 == 0, "GDPR").alias("regulation"), F.when(i % 7 == 0, "Article 7(1)").alias("article"), F.when(i % 3 == 0, "consent shall be freely given").alias("requirement_text"))
+    retrieved = F.array(F.struct(F.lit("GDPR").alias("regulation"), F.when(i % 2 == 0, "7").otherwise("9").alias("article")))
+    rows = verdict_rows(spark, d).select(
+        site(F.col("site")).alias("site"), i.cast("string").alias("dimension"), "verdict", "score", F.lit(0.5).alias("confidence"), F.when(i % 5 == 0, "We share data with partners").when(i % 5 == 1, "zz qq xx zz qq xx zz qq xx").alias("policy_claim"),
+        F.when(i % 4 == 0, "click.net was contacted").when(i % 4 == 1, "bogus.org was contacted").when(i % 4 == 3, "purchase.net and view.net").alias("behavioral_evidence"),
+        F.when(i % 6 == 0, "neglect").when(i % 6 == 1, "contrary").alias("discrepancy_type"), breach.alias("breach"), retrieved.alias("retrieved_articles"), F.lit("Consent shall be freely given and may be withdrawn.").alias("rule_text"),
+    )
+    cookies, none = "array<struct<name:string,cookie_domain:string>>", F.array()
+    seen = table(spark, d, "events").where("value > 45").groupBy(site(F.col("user_id")).alias("scan")).agg(F.sort_array(F.collect_set(F.concat("event_type", F.lit(".net")))).alias("third_party_domains"))
+    found = seen.select(
+        "scan", F.col("scan").alias("first_party"), F.concat(F.lit("https://"), F.col("scan")).alias("scanned_url"), "third_party_domains", none.cast("array<struct<etld1:string>>").alias("tracker_requests"),
+        *(none.cast(cookies).alias(c) for c in ("pre_consent_profiling_cookies", "js_set_profiling_cookies", "other_third_party_cookies")), none.cast("array<string>").alias("fingerprinting_alarms"), F.lit(None).cast(DECLARED).alias("declared_vs_actual"),
+    )
+    policies = rows.select("site").distinct().where(F.regexp_extract("site", r"\d+", 0).cast("int") % 3 != 0).withColumn("policy_text", F.lit("In this notice: we share data with partners for advertising."))
+    got = verification.summary(verification.verify(rows, verification.universe(found), policies))
+    counts = [F.col(f"{c}.{k}").alias(f"c{n}_{k}") for n, c in enumerate(verification.CHECKS, 1) for k in ("unsupported", "na")]
+    return got.select("site", F.col("dimensions_checked").alias("dimensions"), F.col("dimensions_fully_grounded").alias("grounded"), "grounding_rate", *counts)

@@ -190,3 +190,8 @@ def q_skipped_candidates(spark, d):
     rows = table(spark, d, "pages").select(kind().alias("kind"), score().alias("score"), "url", F.expr(_CLICK).alias("label"))
     skip = policies.is_marketing(F.col("kind"), F.col("score"), F.col("url"), F.col("label"))
     return rows.groupBy("kind").agg(F.count("*").alias("candidates"), F.count_if(skip).alias("skipped"))
+
+
+@query(f"""WITH {A_SQL} SELECT page_id, count(*) AS elements, count(*) FILTER (WHERE regexp_matches(lower(label), 'the|que|und')) AS consent_related FROM a GROUP BY 1""")
+def q_consent_elements(spark, d):
+    return anchors(spark, d).groupBy("page_id").agg(F.count("*").alias("elements"), F.count_if(X.is_consent_control(F.col("label"), ["the", "que", "und"])).alias("consent_related"))

@@ -17,7 +17,8 @@ COOKIE = "struct<name:string,domain:string,path:string,secure:boolean,httpOnly:b
 TELEMETRY = (
     "meta struct<url:string,final_url:string,domain:string,etld1:string,captured_at:string>, "
     "infrastructure_security struct<https_enforced:boolean,security_headers:map<string,string>,missing_headers:array<string>>, "
-    f"observed_behavior struct<cookies:struct<total:int,all_cookies:array<{COOKIE}>>,fingerprinting_traps:struct<alarms_triggered:int,alarms:array<string>>,all_requests:array<struct<url:string,method:string,third_party:boolean,domain:string>>>, "
+    "declared_vs_observed struct<policy_links:array<struct<text:string,href:string>>,meta_tags:array<struct<name:string,content:string>>>, "
+    f"observed_behavior struct<network_summary:struct<total_requests:int,third_party_requests:int,third_party_domains:array<string>>,cookies:struct<total:int,third_party_count:int,all_cookies:array<{COOKIE}>>,fingerprinting_traps:struct<alarms_triggered:int,alarms:array<string>>,all_requests:array<struct<url:string,method:string,third_party:boolean,domain:string>>>, "
     "visual_evidence struct<interactable_elements:struct<total:int,consent_related_count:int>>"
 )
 LIST_A = "categories map<string,array<map<string,map<string,string>>>>"

@@ -1,6 +1,7 @@
 """Captures of our own, from files to the evidence row, and tracker lists."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -307,3 +308,47 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "1.json").write_text('{"scan": "s", "url": "https://a.b.example/x", "ts": "2026-01-01T00:10:00Z"}\n' * 3)
     captures.run_available(captures.request_counts(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck")
     assert [(r.etld1, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("b.example", 3)]
+
+
+def test_readers_of_texts_and_reports(spark, tmp_path):
+    (tmp_path / "law").mkdir()
+    (tmp_path / "law" / "a.txt").write_text("Article 1\nText\n")
+    (tmp_path / "law" / "b.pdf").write_bytes(b"%PDF fake")
+    assert {r.file: r.text for r in readers.whole_texts(spark, f"{tmp_path}/law/*.txt").collect()} == {"a.txt": "Article 1\nText\n"}
+    assert [tuple(r) for r in readers.pdf_files(spark, f"{tmp_path}/law/*.pdf", lambda b: b.decode().upper()).collect()] == [("b.pdf", "%PDF FAKE")]
+    report = {"domain": "a.test", "scan_date": "2026-01-01", "overall_score": 40, "dimensions": [{"dimension": "d", "verdict": "FAIL", "score": 40}, {"dimension": "e", "verdict": "DRY_RUN"}]}
+    (tmp_path / "old.json").write_text(json.dumps(report))
+    (tmp_path / "new.json").write_text(json.dumps(report))
+    os.utime(tmp_path / "old.json", (1, 1))
+    got = readers.reports(spark, f"{tmp_path}/*.json").collect()
+    assert len(got) == 2 and got[0].row.verdict == "FAIL" and got[0].overall_score == 40
+    assert readers.newest(spark, f"{tmp_path}/*.json").first().file.endswith("new.json")
+    (tmp_path / "sheet.csv").write_text('domain,dimension,legal_requirement,observed_behaviour,policy_excerpt,human_verdict,annotator_notes\na,d,"x, ""y""",o,p, fail ,n\nb,d,x,o,p,,n\nc,d,x,o,p,maybe,n\n')
+    assert [(r.domain, r.human, r.legal_requirement) for r in readers.annotations(spark, f"{tmp_path}/sheet.csv", ["PASS", "FAIL"]).collect()] == [("a", "FAIL", 'x, "y"')]
+
+
+def test_writers_of_evidence_and_policies(spark, golden, tmp_path):
+    writers.json_rows(golden[0], f"{tmp_path}/ev", by=["first_party"])
+    assert json.loads(spark.read.text(f"{tmp_path}/ev").first().value)["summary"]["pre_consent_profiling_cookies"] == 4
+    p = spark.createDataFrame([("a.test/x", "privacy_policy", "https://u", "Title", "Body", None)], "domain string, category string, url string, title string, body string, effective_date string")
+    md = writers.policy_markdown(p).first()
+    assert md.file == "a.test_x_privacy_policy.md" and md.value.startswith("---\ntitle: Title\nurl: https://u\n") and md.value.endswith("---\n\nBody")
+    assert writers.policy_index(p).first().documents[0].title == "Title"
+    rows = spark.createDataFrame([("a", "d", "law", 'saw "it"', "says", "FAIL")], "domain string, dimension string, legal_requirement string, observed_behaviour string, policy_excerpt string, verdict string")
+    writers.annotation_sheet(rows, f"{tmp_path}/sheet")
+    sheet = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/sheet").collect())
+    assert "FAIL" not in sheet and '"saw ""it"""' in sheet
+    done = spark.createDataFrame([("a", "d")], "domain string, dimension string")
+    assert writers.new_only(rows, done, ["domain", "dimension"]).count() == 0
+    page = writers.report_html(spark.createDataFrame([("example", "d", "NOT_ADDRESSED", None, 0, 0.5, "neglect", "<b>")], "site string, dimension string, verdict string, score int, pos int, confidence double, discrepancy_type string, policy_claim string"), golden[0]).first().value
+    assert "confidence: 50%" in page and "Neglect: observed" in page and "&lt;b&gt;" in page and "profiling cookies (4)" in page and "NOT ADDRESSED" in page
+
+
+def test_network_and_payload(spark, golden, tmp_path):
+    requests = spark.createDataFrame([("s", "b.net", "POST", True), ("s", "a.net", "get", True), ("s", "b.net", "GET", True), ("s", "own", "POST", False), ("s", None, "GET", None), ("t", "own", "GET", False)], "scan string, domain string, method string, third_party boolean")
+    assert {r.scan: (r.total, r.third_party, r.third_party_posts, r.third_party_domains) for r in evidence.network_summary(requests).collect()} == {"s": (5, 3, 1, ["a.net", "b.net"]), "t": (1, 0, 0, [])}
+    (tmp_path / "x_telemetry.json").write_text(json.dumps({"meta": {"url": "u"}, "declared_vs_observed": {"policy_links": [{"text": "t", "href": "/p"}], "meta_tags": [{"name": "n", "content": "c"}]}, "observed_behavior": {"cookies": {"total": 3, "all_cookies": [{"name": "secret"}]}}}))
+    t = readers.telemetry(spark, f"{tmp_path}/*_telemetry.json")
+    full, short = (json.loads(policies.compact_telemetry(t, with_tags=w).first().payload) for w in (True, False))
+    assert full["declared_vs_observed"]["meta_tags"] and full["observed_behavior"]["cookies"] == {"total": 3} and "secret" not in str(full) and "meta_tags" not in short["declared_vs_observed"]
+    assert policies.compact_text(F.lit("x")) is not None and spark.range(1).select(policies.compact_text(F.repeat(F.lit("x"), 50_000)).alias("t")).first().t == "x" * 40_000
