@@ -22,13 +22,14 @@ def with_norm(vectors: DataFrame, col: str = "embedding") -> DataFrame:
 def similarities(queries: DataFrame, chunks: DataFrame, keys: list[str] = ()) -> DataFrame:
     """(query_id, chunk_id, sim, chunk columns) of chunks that equal the query in keys.
 
-    A stated set of queries against all chunks. With keys it is an equi-join;
-    without, the queries are sent to the chunks if they are small, counted,
-    and meet them block by block otherwise.
+    A stated set of queries against all chunks, which are sent to them if they
+    are small, counted: then a key that most chunks have is no hot spot.
+    Otherwise it is an exchange by key, or without keys block by block.
     """
     q = queries.select(F.col("query_id"), F.col("embedding").alias("_qe"), F.col("norm").alias("_qn"), *(F.col(k).alias(f"_q_{k}") for k in keys))
     on = [F.col(k) == F.col(f"_q_{k}") for k in keys]
-    both = chunks.join(q, on, "inner") if keys else chunks.crossJoin(broadcast_if_small(q, 8 * F.size("_qe") + 64))
+    q = broadcast_if_small(q, 8 * F.size("_qe") + 64)
+    both = chunks.join(q, on, "inner") if keys else chunks.crossJoin(q)
     return both.withColumn("sim", F.try_divide(dot(F.col("embedding"), F.col("_qe")), F.col("norm") * F.col("_qn"))).drop("_qe", "_qn", *(f"_q_{k}" for k in keys))
 
 
