@@ -131,7 +131,8 @@ def edited_report(docs: DataFrame, samples: int = SAMPLES, text_col: str = "text
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SLOT_BYTES), 2)
     bounds = texts.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("b")).first()["b"]
-    placed = texts.withColumn("slot", place_among(F.col("id"), sorted(set(bounds or []))))
+    bounds = sorted(set(bounds or []))
+    placed = texts.withColumn("slot", place_among(F.col("id"), bounds))
 
     heads = sorted(((r["slot"], r["id"]) for r in placed.groupBy("slot").agg(F.max("id").alias("id")).collect()), reverse=True)
     after = [(s, *heads[(i + 1) % len(heads)]) for i, (s, _) in enumerate(heads)]
@@ -140,7 +141,9 @@ def edited_report(docs: DataFrame, samples: int = SAMPLES, text_col: str = "text
     head_text = placed.join(succeeds, (F.col("slot") == F.col("next_slot")) & F.col("id").eqNullSafe(F.col("head_id"))).groupBy("of_slot").agg(F.max(by_hash).alias("head")).select("of_slot", F.col("head.text").alias("head_text"))
 
     order = Window.partitionBy("slot").orderBy(F.desc_nulls_last("id"), F.desc(F.xxhash64("text")), F.desc("text"))
-    lined = placed.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
+    # Each slot is a task's: partitions of several slots would hold more terms than fit in memory.
+    dealt = placed.repartition(len(bounds) + 1, "slot")
+    lined = dealt.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
     lined = lined.join(head_text, F.col("slot") == F.col("of_slot"), "left").withColumn("next_text", F.coalesce("next_text", "head_text"))
     n_chars = F.length("text")
     half = F.floor(n_chars / 2).cast("int")
