@@ -118,9 +118,14 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 Batches = Iterator[pa.RecordBatch]
 
 
+def _one_core() -> None:
+    """A task has one core: no threads beside it, whose heaps would stay. Memory comes from where _give_back can return it to."""
+    pa.set_cpu_count(1)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def _give_back() -> None:
     """Return to the system what a worker's task has freed: workers stay, and an executor's memory is counted with them."""
-    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
@@ -130,6 +135,7 @@ def mapped(df: DataFrame, function: Callable[[Batches], Batches], schema) -> Dat
     """df.mapInArrow(function, schema), whose workers keep no memory after a task."""
 
     def run(batches: Batches) -> Batches:
+        _one_core()
         yield from function(batches)
         _give_back()
 

@@ -9,9 +9,9 @@ where quotas can't be filled otherwise, and as evenly as it can.
 The flow is between patterns and sources, whose numbers do not follow the
 documents. It reaches the documents as cuts: the documents of a pattern stand
 in the order of a seeded hash, and each source takes an interval of their
-words. A cut is found by adding up words in slots of the hash and then within
-the one slot that holds it, and is then one value of the hash, to which each
-document compares its own. No text moves.
+words. A cut is found by adding up words in slots of the hash, ever smaller
+ones, until the one that holds it has few documents, and is then one value of
+the hash, to which each document compares its own. No text moves.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from attestry.llm.common import WORD, free_name, stage
 REPEATS = 3
 #: More different sets of sources than this are an error: the flow runs on the driver, for so many in some seconds.
 MOST_PATTERNS = 200_000
-#: The highest bits of the hash, 2 ** 16 slots in a pattern.
-SLOT_SHIFT = 48
+#: A cut is found in so many steps of so many bits of the hash.
+LEVELS, LEVEL_BITS = 3, 8
 
 
 def source_key(source: Column) -> Column:
@@ -220,24 +220,37 @@ def solve(rows: DataFrame, weights, repeats: int = REPEATS) -> Mix:
 def _cuts(rows: DataFrame, wanted: list[tuple[str, int]]) -> dict[tuple[str, int], int]:
     """(pattern, words) -> the hash up to which the pattern's documents hold about so many words.
 
-    The document on the cut goes to the side on which it leaves the smaller
-    gap. Rows with one hash repeat each other and go together. The result has
-    a value for each cut, at most REPEATS for each pair of pattern and source.
+    A cut is looked for in LEVELS steps of LEVEL_BITS bits of the hash: words
+    are added up by the next bits, and the driver sees that many sums for each
+    cut, of which there are at most REPEATS for each pair of pattern and
+    source. The documents of the slot that is left are then added up one by
+    one. The document on the cut goes to the side on which it leaves the
+    smaller gap. Rows with one hash repeat each other and go together.
     """
     spark = rows.sparkSession
-    cuts = spark.createDataFrame(wanted, "cut_pattern string, at bigint")
-    slot = F.shiftright("key", SLOT_SHIFT)
-    slots = rows.groupBy("pattern", slot.alias("slot")).agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("pattern").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    slots = slots.withColumn("before", F.coalesce(before, F.lit(0)))
-    hit = slots.join(F.broadcast(cuts), (F.col("pattern") == F.col("cut_pattern")) & (F.col("before") < F.col("at")) & (F.col("at") <= F.col("before") + F.col("words")))
-    hit = hit.select("cut_pattern", "at", F.col("slot").alias("cut_slot"), (F.col("at") - F.col("before")).alias("rest"))
-    within = rows.join(F.broadcast(hit), (F.col("pattern") == F.col("cut_pattern")) & (slot == F.col("cut_slot")))
+    found = {(p, at): (0, at) for p, at in wanted}  # first bits of the hash, words from there
+    for level in range(LEVELS):
+        known, then = level * LEVEL_BITS, (level + 1) * LEVEL_BITS
+        cuts = spark.createDataFrame([(p, at, slot) for (p, at), (slot, _) in found.items()], "cut_pattern string, at bigint, slot bigint")
+        here = (F.col("pattern") == F.col("cut_pattern")) & ((F.shiftright("key", 64 - known) == F.col("slot")) if known else F.lit(True))
+        sums = rows.join(F.broadcast(cuts), here).groupBy("cut_pattern", "at", F.shiftright("key", 64 - then).alias("next")).agg(F.sum("size").alias("words"))
+        of: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        for r in sums.collect():
+            of.setdefault((r["cut_pattern"], r["at"]), []).append((r["next"], r["words"]))
+        for cut, (_, rest) in found.items():
+            for slot, words in sorted(of[cut]):
+                if rest <= words:
+                    found[cut] = slot, rest
+                    break
+                rest -= words
+    shift = 64 - LEVELS * LEVEL_BITS
+    hit = spark.createDataFrame([(p, at, slot, rest) for (p, at), (slot, rest) in found.items()], "cut_pattern string, at bigint, cut_slot bigint, rest bigint")
+    within = rows.join(F.broadcast(hit), (F.col("pattern") == F.col("cut_pattern")) & (F.shiftright("key", shift) == F.col("cut_slot")))
     within = within.groupBy("cut_pattern", "at", "cut_slot", "rest", "key").agg(F.sum("size").alias("size"))
     run = F.sum("size").over(Window.partitionBy("cut_pattern", "at").orderBy("key"))
     below = F.when(run - F.col("size") / 2 <= F.col("rest"), F.col("key"))
-    found = within.withColumn("below", below).groupBy("cut_pattern", "at", "cut_slot").agg(F.max("below").alias("key"))
-    return {(r["cut_pattern"], r["at"]): (r["cut_slot"] << SLOT_SHIFT) - 1 if r["key"] is None else r["key"] for r in found.collect()}
+    keys = within.withColumn("below", below).groupBy("cut_pattern", "at", "cut_slot").agg(F.max("below").alias("key"))
+    return {(r["cut_pattern"], r["at"]): (r["cut_slot"] << shift) - 1 if r["key"] is None else r["key"] for r in keys.collect()}
 
 
 def cycle(weights: tuple[float, ...]):

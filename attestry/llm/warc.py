@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.llm.common import BATCH_ROWS, Batches, fresh_path, mapped, stage
+from attestry.llm.common import BATCH_ROWS, Batches, broadcast_if_small, fresh_path, mapped, stage
 
 #: Payloads of fewer bytes never revisit others.
 LEAST_REVISIT = 1000
@@ -97,9 +97,11 @@ def plan(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     Of the rows whose payloads are equal and of LEAST_REVISIT bytes or more,
     the one with the largest id is the response. Repeated rows with that id
     are responses too. Ids that are null count as the smallest, and where a
-    group has no other id its rows are all responses. Digests are counted
-    before any page moves; only digests that two ids share meet in the join,
-    whose sides Spark can split where one digest has very many pages.
+    group has no other id its rows are all responses. Digests are counted,
+    without their pages, and those that two ids share are a written table. If
+    it is small it is sent to the pages and none of them moves; otherwise they
+    meet by exchange, which Spark can split where one digest has very many
+    pages.
     """
     with_payload = pages.select(F.col(id_col).alias("page_id"), F.col("url").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     with_payload = with_payload.withColumn("digest", F.sha1("payload"))
@@ -110,6 +112,7 @@ def plan(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         .where((F.col("least_id") < F.col("response_id")) | ((F.col("n_null") > 0) & F.col("response_id").isNotNull()))
         .select("shared_digest", "response_id")
     )
+    shared = broadcast_if_small(stage(shared, "warc-shared"), 64)
     revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     return with_payload.join(shared, F.col("digest") == F.col("shared_digest"), "left").select("page_id", "url", "payload", "digest", F.when(revisit, F.col("response_id")).alias("refers_to"), revisit.alias("is_revisit"), F.expr("uuid()").alias("record_id"))
 
