@@ -1,4 +1,7 @@
-"""Evidence as text: for prompts by dimension, for whole sites, and for annotators."""
+"""Evidence as text: for prompts by dimension, for whole sites, and for annotators.
+
+The beginnings of lines are fixed values: what reads the texts relies on them.
+"""
 
 from __future__ import annotations
 

@@ -48,6 +48,7 @@ def test_evidence(spark, scans):
     assert row.third_party_domains == ["count.net", "follow.net", "plain.org"] and [c.name for c in row.js_set_profiling_cookies] == ["js"] and row.declared_vs_actual is None
 
 
+# A capture whose results are known.
 GOLDEN_START = "2026-07-12T10:00:00Z"
 
 
