@@ -120,6 +120,13 @@ def effective_date(text: Column, forms: list[str] = vocab.DATE_FORMS) -> Column:
     return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(near, f, 1)), F.lit("")) for f in forms))
 
 
+def dom_text(html: Column) -> Column:
+    """The text of markup by patterns alone: without scripts, styles, comments and tags, white space unified."""
+    plain = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    return F.trim(F.regexp_replace(plain, r"[ \t\n\r]+", " "))
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 

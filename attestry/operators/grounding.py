@@ -40,13 +40,15 @@ def containing(quotes: DataFrame, texts: DataFrame, quote_id: str = "quote_id",
     keyed = quotes.where(F.col("quote").isNotNull()).select(F.col(quote_id).alias("quote_id"), "quote", longest["word"].alias("word"))
     named = texts.select(F.col(text_id).alias("text_id"), "text")
     with_word = keyed.where("word IS NOT NULL")
-    of_text = named.select("text_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    met = of_text.join(broadcast_if_small(with_word, F.length("quote") * 2 + 64), "word")
+    # Only ids and words meet first: a text is not copied for each of its words.
+    words_of = named.select("text_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    met = words_of.join(broadcast_if_small(with_word.select(F.col("quote_id").alias("q"), "word")), "word").select(F.col("text_id").alias("t"), "q").distinct()
+    pairs = met.join(with_word.select("quote_id", "quote"), F.col("q").eqNullSafe(F.col("quote_id"))).select("t", "quote_id", "quote")
+    both = named.join(pairs, F.col("text_id").eqNullSafe(F.col("t"))).select("quote_id", "quote", "text_id", "text")
     short = keyed.where("word IS NULL").select("quote_id", "quote")
-    met = met.select("quote_id", "quote", "text_id", "text")
     if not short.isEmpty():
-        met = met.unionByName(named.crossJoin(broadcast_if_small(short)).select("quote_id", "quote", "text_id", "text"))
-    return met.where(F.contains("text", F.col("quote"))).select("quote_id", "text_id").distinct()
+        both = both.unionByName(named.crossJoin(broadcast_if_small(short)).select("quote_id", "quote", "text_id", "text"))
+    return both.where(F.contains("text", F.col("quote"))).select("quote_id", "text_id").distinct()
 
 
 def citation_status(article: Column, regulation: Column, retrieved: Column) -> Column:

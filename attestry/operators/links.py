@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,11 @@ def first_success(candidates: DataFrame, keys: list[str], ok: str = "ok") -> Dat
     return candidates.groupBy(*keys).agg(F.min_by(F.when(F.col(ok), F.col("href")), F.when(F.col(ok), F.col("pos"))).alias("href"), F.count("*").alias("tried"))
 
 
+def hub_pages(anchors: DataFrame, keys: list[str], policy_link: Column, most: int = 5) -> DataFrame:
+    """keys and links of pages with more than so many policy links: they lead to policies and are none."""
+    return anchors.where(policy_link).groupBy(*keys).agg(F.count("*").alias("links")).where(F.col("links") > most)
+
+
 def pooled(primary: DataFrame, extra: DataFrame, keys: list[str], prepend: bool = False) -> DataFrame:
     """Both lists with unseen addresses of the extra one; a prepended list comes first, in reverse order of discovery."""
     first, second = (extra.withColumn("pos", -F.col("pos")), primary) if prepend else (primary, extra)

@@ -136,15 +136,13 @@ def q_first_success(spark, d):
 @query(f"WITH {A_SQL} SELECT page_id, count(*) AS links FROM a WHERE regexp_matches(lower(href || ' ' || label), 'e') GROUP BY 1 HAVING count(*) > 5")
 def q_hub_pages(spark, d):
     hit = U.is_policy_link(F.col("href"), F.col("label"), [("any", ["e"])])
-    return anchors(spark, d).where(hit).groupBy("page_id").agg(F.count("*").alias("links")).where("links > 5")
+    return links.hub_pages(anchors(spark, d), ["page_id"], hit)
 
 
 @query(r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages)
 SELECT page_id, length(trim(regexp_replace(t, '[ \t\n\r]+', ' ', 'g'))) AS n_chars FROM t""")
 def q_page_text(spark, d):
-    t = F.regexp_replace("html", r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    return table(spark, d, "pages").select("page_id", F.length(F.trim(F.regexp_replace(t, r"[ \t\n\r]+", " "))).alias("n_chars"))
+    return table(spark, d, "pages").select("page_id", F.length(X.dom_text(F.col("html"))).alias("n_chars"))
 
 
 @query()
