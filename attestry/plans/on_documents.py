@@ -113,7 +113,18 @@ def q_block_dedupe(spark, d):
     return rows.select("doc_id", "blocks", F.size("k").cast("bigint").alias("kept"), F.md5(F.array_join("k", "\n\n")).alias("digest"))
 
 
-@query()
+def _count(part: str) -> str:
+    return f"((length(x) - length(replace(x, {part}, ''))) // length({part}))"
+
+
+EXCERPT_SQL = f"""WITH w AS (SELECT unnest([0, 1]) AS wi, unnest(['thea ', 'que ']) AS w), s AS (SELECT doc_id, text, wi, w, string_split(lower(text), w) AS parts FROM documents, w WHERE text <> ''),
+k AS (SELECT *, unnest(range(1, len(parts))) AS k FROM s), a AS (SELECT doc_id, text, wi, k, greatest(0, list_sum(list_transform(parts[1:k], lambda y: length(y))) + (k - 1) * length(w) - 200)::BIGINT AS start FROM k),
+x AS (SELECT doc_id, wi, k, substr(text, start + 1, 900) AS x FROM a), p AS (SELECT *, 2 * {_count("'. '")} - 3 * ({_count("']('")} + {_count("'](#'")}) - {_count("chr(10) || '-'")} - {_count("chr(10) || '*'")} AS score FROM x),
+b AS (SELECT doc_id, arg_max(x, (score, -wi, -k)) AS x FROM p GROUP BY 1), f AS (SELECT doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 'NO POLICY RETRIEVED' ELSE trim(regexp_replace(coalesce(b.x, substr(d.text, 1, 900)), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) END AS t FROM documents d LEFT JOIN b USING (doc_id))
+SELECT doc_id, md5(t) AS digest FROM f"""
+
+
+@query(EXCERPT_SQL)
 def q_excerpt(spark, d):
     return docs(spark, d).select("doc_id", F.md5(excerpt(F.col("text"), ["thea ", "que "])).alias("digest"))
 
