@@ -41,7 +41,7 @@ def containing(quotes: DataFrame, texts: DataFrame, quote_id: str = "quote_id",
     named = texts.select(F.col(text_id).alias("text_id"), "text")
     with_word = keyed.where("word IS NOT NULL")
     # Only ids and words meet first: a text is not copied for each of its words.
-    words_of = named.select("text_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    words_of = named.select("text_id", F.explode(F.split("text", r"\s+")).alias("word"))
     met = words_of.join(broadcast_if_small(with_word.select(F.col("quote_id").alias("q"), "word")), "word").select(F.col("text_id").alias("t"), "q").distinct()
     pairs = met.join(with_word.select("quote_id", "quote"), F.col("q").eqNullSafe(F.col("quote_id"))).select("t", "quote_id", "quote")
     both = named.join(pairs, F.col("text_id").eqNullSafe(F.col("t"))).select("quote_id", "quote", "text_id", "text")
