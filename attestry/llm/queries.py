@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import bpe, media, mixing, quality, simhash, substrings, token_counts, toxicity, warc, weighted_sampling
+from attestry.llm import bpe, media, mixing, pieces, quality, ranking, simhash, substrings, token_counts, toxicity, warc, weighted_sampling, whitening
 from attestry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +64,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality, "op2_weighted_sampling": op2_weighted_sampling, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_substrings": op7_substrings,
-    "op8_token_counts": op8_token_counts, "op9_media": op9_media, "op10_warc": op10_warc,
+    "op8_token_counts": op8_token_counts, "op9_media": op9_media, "op10_warc": op10_warc, "op11_whitening": op11_whitening, "op12_pieces": op12_pieces, "op13_ranking": op13_ranking,
 }
 
 OP10_SQL = """
@@ -79,4 +91,16 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
 FROM d LEFT JOIN g USING (payload_digest)
 """
 
-ORACLES: dict[str, str] = {"op10_warc": OP10_SQL}
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+h AS (SELECT r, doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0), s AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM h),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM h) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, big_n),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
+c AS (SELECT item_id, term, count(*) AS q FROM q GROUP BY ALL),
+x AS (SELECT item_id, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score FROM c JOIN p USING (term) JOIN w USING (term), s GROUP BY ALL),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r)::INTEGER AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op10_warc": OP10_SQL, "op13_ranking": OP13_SQL}
