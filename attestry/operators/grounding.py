@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.functions import text as X
 from attestry.functions import vocab
-from attestry.functions.fuzzy import quote_ratio
+from attestry.functions.fuzzy import quote_ratios
 from attestry.operators.sizes import broadcast_if_small
 
 
@@ -24,31 +30,89 @@ def suffix_pairs(claims: DataFrame, known: DataFrame) -> DataFrame:
     return down.select("claim", "domain").unionByName(up.select("claim", "domain")).distinct()
 
 
+#: A quote is looked up by a key of at most so many of its characters.
+KEY_LENGTH = 24
+#: Characters of the keys that are looked up in one pass over the texts: an automaton takes about 100 bytes for each.
+KEYS_AT_ONCE = 1 << 20
+
+
+def key_of(quote: str) -> int:
+    """Where the key of a quote starts: the run of KEY_LENGTH with the most different characters, the first of equals."""
+    return max(range(max(1, len(quote) - KEY_LENGTH + 1)), key=lambda i: (len(set(quote[i : i + KEY_LENGTH])), -i))
+
+
+class QuoteFinder:
+    """Which of many quotes a text holds: one pass of an automaton of their keys; what it meets is compared whole."""
+
+    def __init__(self, quotes: list[str]):
+        self.quotes, keys = quotes, {}
+        for n, q in enumerate(quotes):
+            at = key_of(q)
+            keys.setdefault(q[at : at + KEY_LENGTH], []).append((n, at))
+        self.automaton = ahocorasick.Automaton()
+        for key, held in keys.items():
+            self.automaton.add_word(key, (len(key), held))
+        self.automaton.make_automaton()
+
+    def held(self, text: str) -> list[int]:
+        """The places in the list of the quotes that the text holds, in order."""
+        found: set[int] = set()
+        for end, (size, held) in self.automaton.iter(text):
+            for n, at in held:
+                start = end + 1 - size - at
+                if n not in found and start >= 0 and text.startswith(self.quotes[n], start):
+                    found.add(n)
+        return sorted(found)
+
+
+def _blocks(quotes: DataFrame) -> Iterator[list[str]]:
+    """The quotes in blocks of KEYS_AT_ONCE characters of keys."""
+    block, size = [], 0
+    for row in quotes.toLocalIterator():
+        block.append(row[0])
+        size += min(len(row[0]), KEY_LENGTH)
+        if size >= KEYS_AT_ONCE:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 def containing(quotes: DataFrame, texts: DataFrame, quote_id: str = "quote_id", text_id: str = "text_id") -> DataFrame:
-    """(quote_id, text_id) where the text holds the quote, character by character, without a product of the two.
-
-    quotes: (quote_id, quote); texts: (text_id, text). A text that holds a
-    quote holds each of its words but the first and the last, which may go on
-    in the text. So the two meet at the quote's longest inner word, and only
-    what meets is compared. Quotes without an inner word have no such key:
-    they are compared with every text, in blocks. Null quotes are in nothing,
-    the empty quote is in every text; repeated rows count once.
+    """(quote_id, text_id) where the text holds the quote, character by character.
+
+    quotes: (quote_id, quote); texts: (text_id, text). The different quotes
+    are read here, block by block; each block is an automaton that goes to
+    the tasks, and one pass over the texts finds all that they hold of it, so
+    the work is one step for each character and block. Null quotes are in
+    nothing, the empty quote is in every text that is not null; repeated rows
+    count once.
     """
-    words = F.split("quote", r"\s+")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))
-    keyed = quotes.where(F.col("quote").isNotNull()).select(F.col(quote_id).alias("quote_id"), "quote", longest["word"].alias("word"))
-    named = texts.select(F.col(text_id).alias("text_id"), "text")
-    with_word = keyed.where("word IS NOT NULL")
-    # Only ids and words meet first: a text is not copied for each of its words.
-    words_of = named.select("text_id", F.explode(F.split("text", r"\s+")).alias("word"))
-    met = words_of.join(broadcast_if_small(with_word.select(F.col("quote_id").alias("q"), "word")), "word").select(F.col("text_id").alias("t"), "q").distinct()
-    pairs = met.join(with_word.select("quote_id", "quote"), F.col("q").eqNullSafe(F.col("quote_id"))).select("t", "quote_id", "quote")
-    both = named.join(pairs, F.col("text_id").eqNullSafe(F.col("t"))).select("quote_id", "quote", "text_id", "text")
-    short = keyed.where("word IS NULL").select("quote_id", "quote")
-    if not short.isEmpty():
-        both = both.unionByName(named.crossJoin(broadcast_if_small(short)).select("quote_id", "quote", "text_id", "text"))
-    return both.where(F.contains("text", F.col("quote"))).select("quote_id", "text_id").distinct()
+    asked = quotes.where(F.col("quote").isNotNull()).select(F.col(quote_id).alias("quote_id"), "quote").distinct()
+    named = texts.where(F.col("text").isNotNull()).select(F.col(text_id).alias("text_id"), "text")
+    schema = T.StructType([T.StructField("quote", T.StringType()), named.schema["text_id"]])
+
+    def search(block: list[str]) -> DataFrame:
+        sent = quotes.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = QuoteFinder([q for q in sent.value if q])
+            anywhere = [""] if "" in sent.value else []
+            for b in batches:
+                ids, found, row = b.column("text_id"), [], []
+                for i, text in enumerate(b.column("text").to_pylist()):
+                    here = [finder.quotes[n] for n in finder.held(text)] + anywhere
+                    found += here
+                    row += [i] * len(here)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), ids.take(pa.array(row, pa.int64()))], names=schema.names)
+
+        return named.mapInArrow(run, schema)
+
+    passes = [search(block) for block in _blocks(asked.select("quote").distinct())]
+    if not passes:
+        return asked.join(named.limit(0), F.lit(False)).select("quote_id", "text_id")
+    met = reduce(DataFrame.unionByName, passes).distinct()
+    return met.join(broadcast_if_small(asked, F.octet_length("quote") + 64), "quote").select("quote_id", "text_id").distinct()
 
 
 def citation_status(article: Column, regulation: Column, retrieved: Column) -> Column:
@@ -58,15 +122,31 @@ def citation_status(article: Column, regulation: Column, retrieved: Column) -> C
     return F.when(F.coalesce(article, F.lit("")) == "", "N/A").when(F.coalesce(F.size(retrieved), F.lit(0)) <= 0, "N/A").when(hit, "SUPPORTED").otherwise("UNSUPPORTED")
 
 
+def quote_statuses(rows: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Adds a struct (status, ratio, note) for each check, a quote and its source, under the check's name.
+
+    Built-in functions decide what they can. What is left of all checks
+    reaches the fuzzy function in one call, which gets null for the rest, so
+    rows are read once.
+    """
+    fast = rows.withColumns({f"_fast_{name}": X.quote_status(quote, source) for name, (quote, source) in checks.items()})
+    due = lambda name, c: F.when(F.col(f"_fast_{name}.status").isNull(), c)
+    slow = fast.withColumn("_ratios", quote_ratios([(due(name, X.joined_quote(quote)), due(name, X.norm(source))) for name, (quote, source) in checks.items()]))
+    out = {}
+    for i, name in enumerate(checks):
+        known, ratio = F.col(f"_fast_{name}"), F.get("_ratios", F.lit(i))
+        note = F.when(ratio >= vocab.FUZZY_ACCEPT, "near-verbatim (minor edits)").when(ratio >= vocab.FUZZY_PARTIAL, "paraphrased, not a quotation").otherwise("no matching text found in source")
+        out[name] = F.when(
+            known["status"].isNotNull(),
+            F.struct(known["status"].alias("status"), F.when(known["note"] == "source text unavailable", 0.0).otherwise(1.0).alias("ratio"), known["note"].alias("note")),
+        ).otherwise(F.struct(F.when(ratio >= vocab.FUZZY_ACCEPT, "SUPPORTED").otherwise("UNSUPPORTED").alias("status"), F.bround(ratio, 3).alias("ratio"), note.alias("note")))
+    return slow.withColumns(out).drop("_ratios", *(f"_fast_{name}" for name in checks))
+
+
 def quote_checks(rows: DataFrame, quote: str = "quote", source: str = "source") -> DataFrame:
-    """Adds status, ratio and note. Only quotes that are not found verbatim reach the fuzzy function."""
-    fast = rows.withColumn("_q", X.quote_status(F.col(quote), F.col(source)))
-    done = fast.where(F.col("_q.status").isNotNull()).withColumns({"status": F.col("_q.status"), "ratio": F.when(F.col("_q.note") == "source text unavailable", 0.0).otherwise(1.0), "note": F.col("_q.note")})
-    ratio = quote_ratio(X.joined_quote(F.col(quote)), X.norm(F.col(source)))
-    slow = fast.where(F.col("_q.status").isNull()).withColumn("ratio", ratio)
-    slow = slow.withColumn("status", F.when(F.col("ratio") >= vocab.FUZZY_ACCEPT, "SUPPORTED").otherwise("UNSUPPORTED"))
-    slow = slow.withColumn("note", F.when(F.col("ratio") >= vocab.FUZZY_ACCEPT, "near-verbatim (minor edits)").when(F.col("ratio") >= vocab.FUZZY_PARTIAL, "paraphrased, not a quotation").otherwise("no matching text found in source"))
-    return done.drop("_q").unionByName(slow.withColumn("ratio", F.bround("ratio", 3)).drop("_q"))
+    """Adds status, ratio and note of one quote."""
+    checked = quote_statuses(rows, {"_check": (F.col(quote), F.col(source))})
+    return checked.withColumns({c: F.col(f"_check.{c}") for c in ("status", "ratio", "note")}).drop("_check")
 
 
 def behaviour_issues(claim: Column, domains: Column, cookies: Column, counts: Column, raw: Column) -> Column:

@@ -62,9 +62,12 @@ def verify(rows: DataFrame, evidence: DataFrame | None, policies: DataFrame) ->
     wide = wide.withColumn("C1_citation", c1)
 
     has = lambda c: F.coalesce(c, F.lit("")) != ""
-    for check, quote, source, due in (("C2_requirement_quote", breach["requirement_text"], "rule_text", has(F.col("rule_text"))), ("C3_policy_quote", F.col("policy_claim"), "policy_text", has(F.col("policy_text")))):
-        wide = G.quote_checks(wide.withColumn("_quote", F.when(due, quote)), "_quote", source)
-        wide = wide.withColumns({check: F.when(due, F.col("status")).otherwise("N/A"), f"_{check[:2]}": F.struct("note", "ratio")}).drop("_quote", "status", "note", "ratio")
+    quotations = {
+        "C2_requirement_quote": (breach["requirement_text"], F.col("rule_text"), has(F.col("rule_text"))),
+        "C3_policy_quote": (F.col("policy_claim"), F.col("policy_text"), has(F.col("policy_text"))),
+    }
+    wide = G.quote_statuses(wide, {f"_{check[:2]}": (F.when(due, quote), source) for check, (quote, source, due) in quotations.items()})
+    wide = wide.withColumns({check: F.when(due, F.col(f"_{check[:2]}.status")).otherwise("N/A") for check, (_, _, due) in quotations.items()})
 
     claim = F.coalesce("behavioral_evidence", F.lit(""))
     c4 = G.behaviour_issues(claim, F.col("known_domains"), F.col("known_cookies"), F.col("known_counts"), F.col("raw"))
