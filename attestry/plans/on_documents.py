@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions import text as X
 from attestry.functions import vocab
 from attestry.functions.fuzzy import excerpt
-from attestry.operators import grounding, policies, retrieval
+from attestry.operators import grounding, policies, retrieval, vector_index
 from attestry.plans.registry import query, table
 
 #: A stand-in for headings: a line that begins with a word in Th.
@@ -166,13 +166,19 @@ def vectors(spark, d):
     return v, v.where("vec_id % 100 = 0").withColumn("query_id", F.col("vec_id"))
 
 
-@query(f"WITH {V_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rk FROM s WHERE label = q_label) SELECT query_id, vec_id, rk::INTEGER AS rank, round(sim, 4) AS sim FROM r WHERE rk <= 4")
+TOPK_SQL = f"WITH {V_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rk FROM s WHERE label = q_label) SELECT query_id, vec_id, rk::INTEGER AS rank, round(sim, 4) AS sim FROM r WHERE rk <= 4"
+
+
+@query(TOPK_SQL)
 def q_vector_topk(spark, d):
     v, q = vectors(spark, d)
     return retrieval.top_k(retrieval.similarities(q, v, ["label"]), 4).select("query_id", "vec_id", "rank", F.round("sim", 4).alias("sim"))
 
 
-@query(f"WITH {V_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rk FROM s) SELECT query_id, vec_id, rk::INTEGER AS rank FROM r WHERE rk <= 5 AND label IN (1, 3, 5, 7)")
+POSTFILTER_SQL = f"WITH {V_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rk FROM s) SELECT query_id, vec_id, rk::INTEGER AS rank FROM r WHERE rk <= 5 AND label IN (1, 3, 5, 7)"
+
+
+@query(POSTFILTER_SQL)
 def q_topk_postfilter(spark, d):
     v, q = vectors(spark, d)
     return retrieval.top_k(retrieval.similarities(q, v), 5).where(F.col("label").isin(1, 3, 5, 7)).select("query_id", "vec_id", "rank")
@@ -199,3 +205,17 @@ def q_anchor_join(spark, d):
     anchor = retrieval.anchors(refs, v.select("label", "chunk_id"), ["label"], 2).select("query_id", "chunk_id", F.col("chunk_id").alias("pos"))
     semantic = retrieval.top_k(retrieval.similarities(q, v), 3).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("pos"))
     return retrieval.merged(anchor, semantic, ["chunk_id"], 3).select("query_id", F.col("chunk_id").alias("vec_id"), "src", "rank")
+
+
+@query(TOPK_SQL)
+def q_index_topk(spark, d):
+    """q_vector_topk by an index."""
+    v, q = vectors(spark, d)
+    return vector_index.index_top_k(q.drop("chunk_id", "vec_id"), v, 4, ["label"]).select("query_id", "vec_id", "rank", F.round("sim", 4).alias("sim"))
+
+
+@query(POSTFILTER_SQL)
+def q_index_postfilter(spark, d):
+    """q_topk_postfilter by an index."""
+    v, q = vectors(spark, d)
+    return vector_index.index_top_k(q.drop("chunk_id", "vec_id"), v, 5).where(F.col("label").isin(1, 3, 5, 7)).select("query_id", "vec_id", "rank")
