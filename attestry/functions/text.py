@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -158,16 +159,38 @@ def cookie_section(markdown: Column, least_words: int = 150) -> Column:
     return F.when(word_count(section) > least_words, section)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it in functions over arrays."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dedupe_blocks(blocks: Column, least: int = 30, window: int = 3) -> Column:
     """The blocks without blank ones and those that one of the last kept ones equals or contains, on letters and digits of any script alone.
 
-    Blocks shorter than least always stay. Each block is stripped once.
+    Blocks shorter than least always stay. Each block is stripped once. What
+    the fold carries is the last kept blocks; it runs over groups of as many
+    blocks as there are groups, and what a group keeps is appended within it,
+    so that no step copies more than the root of the number of blocks.
     """
     stripped = F.filter(F.transform(blocks, lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
     both = F.transform(stripped, lambda x: F.struct(x.alias("block"), F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", "").alias("bare")))
-    seen = lambda acc, x: F.exists(F.slice(acc, F.greatest(F.lit(1), F.size(acc) - (window - 1)), F.lit(window)), lambda k: F.contains(k["bare"], x["bare"]))
-    kept = F.aggregate(both, F.array().cast("array<struct<block:string,bare:string>>"), lambda acc, x: F.when((F.length(x["block"]) >= least) & seen(acc, x), acc).otherwise(F.array_append(acc, x)))
-    return F.transform(kept, lambda x: x["block"])
+    none = F.array().cast("array<string>")
+    state = lambda last, kept: F.struct(last.alias("last"), kept.alias("kept"))
+
+    def one(acc: Column, x: Column) -> Column:
+        seen = (F.length(x["block"]) >= least) & F.exists(acc["last"], lambda k: F.contains(k, x["bare"]))
+        last = F.array_append(acc["last"], x["bare"])
+        return F.when(seen, acc).otherwise(state(F.when(F.size(last) > window, F.slice(last, 2, window)).otherwise(last), F.array_append(acc["kept"], x["block"])))
+
+    def group(acc: Column, g: Column) -> Column:
+        return bound(F.aggregate(g, state(acc["last"], none), one), lambda x: state(x["last"], F.array_append(acc["kept"], x["kept"])))
+
+    def fold(b: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(b))).cast("int"))
+        groups = F.transform(F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0)), step), lambda i: F.slice(b, i + 1, step))
+        return F.flatten(F.aggregate(groups, state(none, F.array().cast("array<array<string>>")), group)["kept"])
+
+    return bound(both, fold)
 
 
 def count_in(text: Column, part: str) -> Column:

@@ -53,8 +53,8 @@ def root_domain(host: Column) -> Column:
     return F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".")
 
 
-def is_third_party(host: Column, first_party: Column) -> Column:
-    return F.coalesce(host, F.lit("")).isNotNull() & (F.coalesce(host, F.lit("")) != "") & (etld1(host) != first_party)
+def is_third_party(host: Column, first_party: Column, suffixes: list[str] = vocab.MULTI_LABEL_SUFFIXES) -> Column:
+    return (F.coalesce(host, F.lit("")) != "") & (etld1(host, suffixes) != first_party)
 
 
 def is_trusted(primary: Column, candidate: Column, ecosystems: dict[str, list[str]] = vocab.ECOSYSTEMS) -> Column:

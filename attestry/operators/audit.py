@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import vocab
 from attestry.operators import rendering, verdicts
+from attestry.sources.scratch import exists, written
 
 #: A capture of fewer requests, or without an element to interact with, was blocked.
 LEAST_REQUESTS = 10
@@ -47,18 +48,54 @@ def prompts(evidence_texts: DataFrame, policies: DataFrame, laws: DataFrame, dim
     return rows.select("scan", "dimension", "severity", "has_events", prompt.alias("prompt"))
 
 
-def score_with(asked: DataFrame, answer: Callable[[list[str]], list[str]], prompt: str = "prompt") -> DataFrame:
-    """asked with the parsed answers of a function from prompts to raw texts, called once for each Arrow batch.
+#: Prompts that one task asks: what is asked again if it fails.
+ASKED_AT_ONCE = 256
 
-    The function is the caller's: a model, a cache or a stand-in. An answer
-    that is null or no object is an error row, not a failed job.
-    """
 
+def _asking(answer: Callable[[list[str]], list[str]]):
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(answer(texts.tolist()), index=texts.index, dtype=object)
 
-    raw = asked.withColumn("raw_response", of(F.col(prompt)))
+    return of
+
+
+def answered(asked: DataFrame, answer: Callable[[list[str]], list[str]], store: str, prompt: str = "prompt") -> DataFrame:
+    """(prompt_digest, raw_response) of all prompts, from a stored table of answers that this call brings up to date.
+
+    A prompt is known by the SHA-256 of its text. Those of asked that the
+    store, a folder, does not know are asked, each once however many rows
+    have it. Spark's commit of the written files takes one attempt of each
+    task, so a task that fails and is tried again leaves no answer twice; it
+    asks its ASKED_AT_ONCE prompts anew. Of answers that two runs at the same
+    time have stored for one prompt the smallest counts. An answer of null is
+    stored as such and not asked for again.
+    """
+    spark = asked.sparkSession
+    stored = "prompt_digest string, raw_response string"
+    known = spark.read.schema(stored).parquet(store) if exists(spark, store) else spark.createDataFrame([], stored)
+    wanted = asked.where(F.col(prompt).isNotNull()).select(F.sha2(F.col(prompt), 256).alias("prompt_digest"), F.col(prompt).alias("_prompt")).dropDuplicates(["prompt_digest"])
+    missing = written(wanted.join(known.select("prompt_digest"), "prompt_digest", "left_anti"), "prompts")
+    n = missing.count()
+    if n or not exists(spark, store):
+        spread = missing.repartition(max(1, -(-n // ASKED_AT_ONCE)), "prompt_digest")
+        spread.select("prompt_digest", _asking(answer)(F.col("_prompt")).alias("raw_response")).write.mode("append").parquet(store)
+    return spark.read.schema(stored).parquet(store).groupBy("prompt_digest").agg(F.min("raw_response").alias("raw_response"))
+
+
+def score_with(asked: DataFrame, answer: Callable[[list[str]], list[str]], prompt: str = "prompt", store: str | None = None) -> DataFrame:
+    """asked with the parsed answers of a function from prompts to raw texts, called once for each Arrow batch.
+
+    The function is the caller's: a model, a cache or a stand-in. An answer
+    that is null or no object is an error row, not a failed job. With a store,
+    equal prompts are asked once, and those that it has answers for not at
+    all: see answered().
+    """
+    if store is None:
+        raw = asked.withColumn("raw_response", _asking(answer)(F.col(prompt)))
+    else:
+        answers = answered(asked, answer, store, prompt)
+        raw = asked.withColumn("_digest", F.sha2(F.col(prompt), 256)).join(answers, F.col("_digest") == F.col("prompt_digest"), "left").select(*asked.columns, "raw_response")
     return raw.withColumn("parsed", verdicts.parse_response(F.coalesce("raw_response", F.lit("")))).select(*asked.columns, "raw_response", "parsed.*")
 
 

@@ -41,15 +41,42 @@ def site_stem(domain: Column) -> Column:
     return F.substring_index(F.replace(domain, F.lit("www."), F.lit("")), ".", 1)
 
 
+#: Stems meet names at a run of so many characters, or all of a shorter stem.
+GRAM = 3
+
+
+def grams(text: Column, n: Column | int) -> Column:
+    """The different runs of n characters."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.when(F.length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def holding(stems: DataFrame, names: DataFrame) -> DataFrame:
+    """(stem, name) where the name holds the stem; stems: (stem), names: (name).
+
+    Names are listed by their runs of 1 to GRAM characters, as many rows as
+    they have characters. Each stem is looked up at that of its runs which the
+    fewest names hold, and what it meets there is compared.
+    """
+    listed = names.select("name").distinct().select("name", F.explode(F.concat(*(grams(F.col("name"), n) for n in range(1, GRAM + 1)))).alias("gram"))
+    held_by = listed.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = stems.where(F.col("stem") != "").select("stem").distinct()
+    own = asked.select("stem", F.explode(grams(F.col("stem"), F.least(F.length("stem"), F.lit(GRAM)))).alias("gram")).join(held_by, "gram", "left")
+    rarest = own.groupBy("stem").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    return rarest.join(listed, "gram").where(F.contains("name", F.col("stem"))).select("stem", "name")
+
+
 def find_policies(sites: DataFrame, files: DataFrame, mapping: DataFrame) -> DataFrame:
     """(domain, file, tier): the files of the first tier that has any.
 
     Tier 1 are the privacy and cookie policy named after the domain, tier 2
     those of hosts that mapping, (domain, host), names for it, tier 3 all
-    whose name holds the domain's stem. Tiers 1 and 2 are equi-joins; stems
-    meet names at their runs of as many characters, so tier 3 is one too.
+    whose name holds the domain's stem. Tiers 1 and 2 are equi-joins, tier 3
+    is one at the stem's rarest run of characters.
     """
     named = files.select("file").distinct()
+
     def of(df, tier):
         both = df.select("domain", "host", F.explode(F.array(*map(F.lit, KINDS))).alias("kind"))
         return both.select("domain", F.concat("host", F.lit("_"), "kind", F.lit("_policy.md")).alias("file"), F.lit(tier).alias("tier"))
@@ -57,12 +84,10 @@ def find_policies(sites: DataFrame, files: DataFrame, mapping: DataFrame) -> Dat
     domains = sites.select("domain").distinct()
     own = of(domains.withColumn("host", F.col("domain")), 1).join(named, "file", "left_semi")
     mapped = of(domains.join(mapping, "domain"), 2).join(named, "file", "left_semi")
-    stems = domains.withColumn("stem", site_stem(F.col("domain"))).where(F.col("stem") != "")
-    lengths = stems.select(F.length("stem").alias("n")).distinct()
-    ends = named.where(F.endswith("file", F.lit("_policy.md"))).crossJoin(F.broadcast(lengths))  # as many rows as a name may have characters
-    runs = ends.where(F.length("file") >= F.col("n")).select("file", F.explode(F.transform(F.sequence(F.lit(1), F.length("file") - F.col("n") + 1), lambda i: F.substring(F.col("file"), i, F.col("n")))).alias("stem")).distinct()
-    held = stems.join(runs, "stem").select("domain", "file", F.lit(3).alias("tier"))
-    every = own.unionByName(mapped).unionByName(held).distinct()
+    stems = domains.withColumn("stem", site_stem(F.col("domain")))
+    held = holding(stems, named.where(F.endswith("file", F.lit("_policy.md"))).select(F.col("file").alias("name")))
+    by_stem = stems.join(held, "stem").select("domain", F.col("name").alias("file"), F.lit(3).alias("tier"))
+    every = own.unionByName(mapped).unionByName(by_stem).distinct()
     first = Window.partitionBy("domain")
     return every.withColumn("_first", F.min("tier").over(first)).where(F.col("tier") == F.col("_first")).drop("_first")
 

@@ -149,10 +149,22 @@ LAWS = f"SELECT unnest({_sql_list(x[0] for x in vocab.DIMENSIONS)}) AS dimension
 _REF = r"'(?i)(EPRIVACY-IE|GDPR|PECR|DPDP|CCPA|ePrivacy)\s+(?:Art|Article|Reg|Regulation|§)\.?\s*(\d+[A-Za-z]?)'"
 
 
-@query(f"WITH l AS ({LAWS}), r AS (SELECT dimension, regexp_extract_all(refs, {_REF}, 1) AS a, regexp_extract_all(refs, {_REF}, 2) AS b FROM l) SELECT dimension, upper(unnest(a)) AS regulation, unnest(b) AS article FROM r")
+@query(rf"""WITH l AS ({LAWS}), r AS (SELECT dimension, regexp_extract_all(refs, {_REF}, 1) AS a, regexp_extract_all(refs, {_REF}, 2) AS b FROM l), c AS (SELECT dimension, upper(unnest(a)) AS regulation, unnest(b) AS article FROM r),
+t AS (SELECT doc_id, regexp_replace(text, '(\d)\d\d', 'GDPR Art \1 ', 'g') AS t FROM documents), x AS (SELECT doc_id, upper(unnest(regexp_extract_all(t, {_REF}, 1))) AS regulation, unnest(regexp_extract_all(t, {_REF}, 2)) AS article FROM t),
+d AS (SELECT DISTINCT * FROM x) SELECT dimension, regulation, article, count(doc_id) AS docs FROM c LEFT JOIN d USING (regulation, article) GROUP BY ALL""")
 def q_law_refs(spark, d):
+    """What the dimensions refer to, and how many documents cite it; numbers of three digits stand for articles."""
     dims = spark.createDataFrame([(x[0], x[1]) for x in vocab.DIMENSIONS], "dimension string, refs string")
-    return dims.select("dimension", F.explode(X.law_references(F.col("refs"))).alias("r")).select("dimension", "r.*")
+    controls = dims.select("dimension", F.explode(X.law_references(F.col("refs"))).alias("r")).select("dimension", "r.*")
+    text = F.regexp_replace("text", r"(\d)\d\d", "GDPR Art $1 ")
+    cited = docs(spark, d).select("doc_id", F.explode(F.array_distinct(X.law_references(text))).alias("r")).groupBy("r.regulation", "r.article").agg(F.count_distinct("doc_id").alias("docs"))
+    return controls.join(cited, ["regulation", "article"], "left").select("dimension", "regulation", "article", F.coalesce("docs", F.lit(0)).alias("docs"))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{vocab.DOMAIN}', 1))) AS domain FROM documents) SELECT domain, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1""")
+def q_claimed_domains(spark, d):
+    found = docs(spark, d).select("doc_id", F.explode(X.domains_in(F.col("text"))).alias("domain"))
+    return found.groupBy("domain").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 # Retrieval. Every hundredth vector is a query against all vectors.

@@ -53,8 +53,8 @@ def q_url_parts(spark, d):
 
 @query(f"WITH {H_SQL}, e AS (SELECT {ETLD1_SQL} AS etld1 FROM h WHERE host <> '') SELECT etld1, count(*) AS n FROM e WHERE etld1 <> 'example.com' GROUP BY 1")
 def q_third_party_requests(spark, d):
-    e = hosts(spark, d).where(F.coalesce("host", F.lit("")) != "").withColumn("etld1", U.etld1(F.col("host"), SUFFIXES))
-    return e.where(F.col("etld1") != FIRST_PARTY).groupBy("etld1").agg(F.count("*").alias("n"))
+    third = hosts(spark, d).where(U.is_third_party(F.col("host"), F.lit(FIRST_PARTY), SUFFIXES))
+    return third.groupBy(U.etld1(F.col("host"), SUFFIXES).alias("etld1")).agg(F.count("*").alias("n"))
 
 
 _ROOT = "array_to_string(string_split(regexp_replace({0}, '^www\\.', ''), '.')[-2:], '.')"

@@ -8,7 +8,7 @@ import pytest
 
 from attestry.functions import fuzzy, vocab
 from attestry.operators import grounding
-from attestry.plans import on_documents, on_events, on_orders, on_pages  # noqa: F401
+from attestry.plans import on_captures, on_documents, on_events, on_orders, on_pages  # noqa: F401
 from attestry.plans.registry import QUERIES
 
 SF = Path("/root/testdata/sf0.001")

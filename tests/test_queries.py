@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from attestry.plans import on_documents, on_events, on_orders, on_pages  # noqa: F401
+from attestry.plans import on_captures, on_documents, on_events, on_orders, on_pages  # noqa: F401
 from attestry.plans.registry import ORACLES, QUERIES
 
 SF = Path("/root/testdata/sf0.001")
