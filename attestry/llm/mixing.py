@@ -11,7 +11,14 @@ documents. It reaches the documents as cuts: the documents of a pattern stand
 in the order of a seeded hash, and each source takes an interval of their
 words. A cut is found by adding up words in slots of the hash, ever smaller
 ones, until the one that holds it has few documents, and is then one value of
-the hash, to which each document compares its own. No text moves.
+the hash, to which each document compares its own. Slots are added up and
+chosen on the executors: the driver sees patterns and sources only. No text
+moves.
+
+The last cut of a pattern stops before the document that would go beyond it.
+The gap that is left is closed by documents behind the cut: of the next ones
+in the order each is taken that still fits, or the document on the cut itself
+where that comes nearer.
 """
 
 from __future__ import annotations
@@ -22,14 +29,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.llm.common import WORD, free_name, stage
+from attestry.llm.common import WORD, broadcast_if_small, free_name, stage, unstage
 
 #: Times that the mix may hold a document.
 REPEATS = 3
 #: More different sets of sources than this are an error: the flow runs on the driver, for so many in some seconds.
 MOST_PATTERNS = 200_000
 #: A cut is found in so many steps of so many bits of the hash.
-LEVELS, LEVEL_BITS = 3, 8
+LEVELS, LEVEL_BITS = 2, 12
+#: Documents behind a last cut that are tried for its gap.
+TRIED = 256
+#: How a table of patterns is joined: bytes of a row beside the pattern.
+ROW_BYTES = 96
 
 
 def source_key(source: Column) -> Column:
@@ -154,13 +165,13 @@ class Mix:
     patterns: list[tuple[str, list[str]]]  # each with its sources
     size: dict[str, int]
     target: dict[str, float]
-    intervals: DataFrame  # pattern, parts array<struct<source, low, high>>
+    intervals: DataFrame  # staged: pattern, parts array<struct<source, low, high>>
 
     def copies(self, docs: DataFrame, pattern: Column, key: Column, name: str = "copies") -> DataFrame:
         """docs with an array column: for each copy that the mix takes, its source's key."""
         of, at, to, parts = (free_name(docs, n) for n in ("mix_pattern", "mix_key", "mix_of", "mix_parts"))
         wide = docs.withColumn(of, pattern).withColumn(at, key)
-        small = F.broadcast(self.intervals.withColumnsRenamed({"pattern": to, "parts": parts}))  # a row for each pattern, at most MOST_PATTERNS
+        small = broadcast_if_small(self.intervals, ROW_BYTES + 64 * F.size("parts") + F.octet_length("pattern")).withColumnsRenamed({"pattern": to, "parts": parts})
         got = wide.join(small, F.col(of) == F.col(to), "left")
         parts = F.filter(parts, lambda x: (x["low"].isNull() | (F.col(at) > x["low"])) & (x["high"].isNull() | (F.col(at) <= x["high"])))
         return got.withColumn(name, F.coalesce(F.transform(parts, lambda x: x["source"]), F.array().cast("array<string>"))).select(*docs.columns, name)
@@ -190,15 +201,18 @@ def solve(rows: DataFrame, weights, repeats: int = REPEATS) -> Mix:
     members = [json.loads(p) for p, _ in sums]
     sources = sorted({s for m in members for s in m})
     place = {s: i for i, s in enumerate(sources)}
-    size = {s: sum(words for m, (_, words) in zip(members, sums) if s in m) for s in sources}
+    size = dict.fromkeys(sources, 0)
+    for m, (_, words) in zip(members, sums):
+        for s in m:
+            size[s] += words
     share = dict(zip(sources, weights(sources)))
     total = sum(words for _, words in sums)
-    target = capped_targets(size, share, repeats)
-    if sum(size.values()) > total:  # overlapping sources: shares of the words there are
-        target = {s: t * total / max(1, sum(size.values())) for s, t in target.items()}
+    target, overlapping = capped_targets(size, share, repeats), sum(size.values())
+    if overlapping > total:  # overlapping sources: shares of the words there are
+        target = {s: t * total / max(1, overlapping) for s, t in target.items()}
     flow = min_cost_flow([words for _, words in sums], [[place[s] for s in m] for m in members], [round(target[s]) for s in sources], repeats)
 
-    parts, wanted = [], set()
+    parts: list[tuple] = []
     for (pattern, words), to in zip(sums, flow):
         at = 0
         for s in sorted(to):
@@ -206,51 +220,76 @@ def solve(rows: DataFrame, weights, repeats: int = REPEATS) -> Mix:
             while at < end:  # one part for each repetition
                 stop = min(end, (at // words + 1) * words)
                 low, high = at % words, (stop - 1) % words + 1
-                parts.append((pattern, sources[s], low or None, high if high < words else None))
-                wanted.update((pattern, x) for x in parts[-1][2:] if x is not None)
+                parts.append((pattern, sources[s], low or None, high if high < words else None, False))
                 at = stop
-    cut = _cuts(rows, sorted(wanted)) if wanted else {}
-    intervals: dict[str, list] = {p: [] for p, _ in sums}
-    for pattern, source, low, high in parts:
-        intervals[pattern].append((source, cut.get((pattern, low)), cut.get((pattern, high))))
-    table = spark.createDataFrame(sorted(intervals.items()), "pattern string, parts array<struct<source string, low bigint, high bigint>>")
-    return Mix([(p, m) for (p, _), m in zip(sums, members)], size, target, table)
-
-
-def _cuts(rows: DataFrame, wanted: list[tuple[str, int]]) -> dict[tuple[str, int], int]:
-    """(pattern, words) -> the hash up to which the pattern's documents hold about so many words.
+        if parts and parts[-1][0] == pattern:
+            parts[-1] = (*parts[-1][:4], True)
+    table = stage(spark.createDataFrame(parts, "pattern string, source string, low bigint, high bigint, last boolean"), "mix-parts")
+    intervals = stage(_intervals(rows, table), "mix-intervals")
+    unstage(table)
+    return Mix([(p, m) for (p, _), m in zip(sums, members)], size, target, intervals)
+
+
+def _intervals(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(pattern, parts): parts (pattern, source, low, high, last) in words as intervals of the hash, with one for each document that fills a gap before a last cut."""
+    ends = [parts.select(F.col("pattern").alias("cut_pattern"), F.col(c).alias("at"), (F.col("last") & F.lit(c == "high")).alias("floor")) for c in ("low", "high")]
+    wanted = ends[0].union(ends[1]).where("at IS NOT NULL").groupBy("cut_pattern", "at").agg(F.max("floor").alias("floor"))
+    cuts = _cuts(rows, wanted)
+    key_at = lambda name: cuts.select(F.col("cut_pattern").alias("pattern"), F.col("at").alias(name), F.col("key").alias(f"{name}_key"))
+    out = parts.join(key_at("low"), ["pattern", "low"], "left").join(key_at("high"), ["pattern", "high"], "left")
+    pieces = out.select("pattern", "source", F.col("low_key").alias("low"), F.col("high_key").alias("high"))
+
+    last = parts.where("last AND high IS NOT NULL").select("pattern", "source", "high")
+    gaps = cuts.where("gap > 0").join(last, (F.col("cut_pattern") == F.col("pattern")) & (F.col("at") == F.col("high"))).select(F.col("pattern").alias("gap_pattern"), "source", F.col("key").alias("after"), "gap", "next")
+    gaps = stage(gaps, "mix-gaps")
+    behind = rows.join(_sent(gaps, "gap_pattern"), (F.col("pattern") == F.col("gap_pattern")) & (F.col("key") > F.col("after")) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+    alike = behind.groupBy("pattern", "key").agg(F.sum("size").alias("size"))
+    tried = alike.withColumn("place", F.row_number().over(Window.partitionBy("pattern").orderBy("key"))).where(F.col("place") <= TRIED)
+    in_order = tried.groupBy(F.col("pattern").alias("gap_pattern")).agg(F.sort_array(F.collect_list(F.struct("key", "size"))).alias("docs"))
+    in_order = gaps.join(in_order, "gap_pattern", "left").withColumn("docs", F.coalesce("docs", F.array().cast("array<struct<key:bigint,size:bigint>>")))
+    state = lambda left, keys: F.struct(left.alias("left"), keys.alias("keys"))
+    take = lambda acc, x: F.when(x["size"] <= acc["left"], state(acc["left"] - x["size"], F.array_append(acc["keys"], x["key"]))).otherwise(acc)
+    in_order = in_order.withColumn("filled", F.aggregate("docs", state(F.col("gap"), F.array().cast("array<bigint>")), take))
+    nearer = F.when(F.col("next.size") - F.col("gap") < F.col("filled.left"), F.array("next.key")).otherwise(F.col("filled.keys"))
+    fill = in_order.select(F.col("gap_pattern").alias("pattern"), "source", F.explode(nearer).alias("high")).select("pattern", "source", (F.col("high") - 1).alias("low"), "high")
+    return pieces.union(fill).groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("source", "low", "high"))).alias("parts"))
+
+
+def _sent(table: DataFrame, pattern: str) -> DataFrame:
+    return broadcast_if_small(table, ROW_BYTES + F.octet_length(pattern))
+
+
+def _cuts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Staged: (cut_pattern, at, key, gap, next) for wanted (cut_pattern, at, floor): the hash up to which the pattern's documents hold about `at` words, what is left of them, and the document behind.
 
     A cut is looked for in LEVELS steps of LEVEL_BITS bits of the hash: words
-    are added up by the next bits, and the driver sees that many sums for each
-    cut, of which there are at most REPEATS for each pair of pattern and
-    source. The documents of the slot that is left are then added up one by
+    are added up by the next bits, and the slot in which they reach the cut is
+    taken. The documents of the slot that is left are then added up one by
     one. The document on the cut goes to the side on which it leaves the
-    smaller gap. Rows with one hash repeat each other and go together.
+    smaller gap, or behind a cut with floor. Rows with one hash repeat each
+    other and go together. A pattern holds at least as many words as its cut.
     """
-    spark = rows.sparkSession
-    found = {(p, at): (0, at) for p, at in wanted}  # first bits of the hash, words from there
+    found = stage(wanted.select("cut_pattern", "at", "floor", F.lit(0).cast("bigint").alias("slot"), F.col("at").alias("rest")), "mix-cuts")
+    of_cut = Window.partitionBy("cut_pattern", "at")
     for level in range(LEVELS):
         known, then = level * LEVEL_BITS, (level + 1) * LEVEL_BITS
-        cuts = spark.createDataFrame([(p, at, slot) for (p, at), (slot, _) in found.items()], "cut_pattern string, at bigint, slot bigint")
         here = (F.col("pattern") == F.col("cut_pattern")) & ((F.shiftright("key", 64 - known) == F.col("slot")) if known else F.lit(True))
-        sums = rows.join(F.broadcast(cuts), here).groupBy("cut_pattern", "at", F.shiftright("key", 64 - then).alias("next")).agg(F.sum("size").alias("words"))
-        of: dict[tuple[str, int], list[tuple[int, int]]] = {}
-        for r in sums.collect():
-            of.setdefault((r["cut_pattern"], r["at"]), []).append((r["next"], r["words"]))
-        for cut, (_, rest) in found.items():
-            for slot, words in sorted(of[cut]):
-                if rest <= words:
-                    found[cut] = slot, rest
-                    break
-                rest -= words
+        sums = rows.join(_sent(found, "cut_pattern"), here).groupBy("cut_pattern", "at", "floor", "rest", F.shiftright("key", 64 - then).alias("next")).agg(F.sum("size").alias("words"))
+        # One row for each cut and slot, of which there are 2 ** LEVEL_BITS.
+        run = sums.withColumn("run", F.sum("words").over(of_cut.orderBy("next"))).where(F.col("run") >= F.col("rest"))
+        first = run.groupBy("cut_pattern", "at", "floor").agg(F.min_by(F.struct("next", (F.col("rest") - F.col("run") + F.col("words")).alias("rest")), "next").alias("x"))
+        closer = stage(first.select("cut_pattern", "at", "floor", F.col("x.next").alias("slot"), "x.rest"), "mix-cuts")
+        unstage(found)
+        found = closer
     shift = 64 - LEVELS * LEVEL_BITS
-    hit = spark.createDataFrame([(p, at, slot, rest) for (p, at), (slot, rest) in found.items()], "cut_pattern string, at bigint, cut_slot bigint, rest bigint")
-    within = rows.join(F.broadcast(hit), (F.col("pattern") == F.col("cut_pattern")) & (F.shiftright("key", shift) == F.col("cut_slot")))
-    within = within.groupBy("cut_pattern", "at", "cut_slot", "rest", "key").agg(F.sum("size").alias("size"))
-    run = F.sum("size").over(Window.partitionBy("cut_pattern", "at").orderBy("key"))
-    below = F.when(run - F.col("size") / 2 <= F.col("rest"), F.col("key"))
-    keys = within.withColumn("below", below).groupBy("cut_pattern", "at", "cut_slot").agg(F.max("below").alias("key"))
-    return {(r["cut_pattern"], r["at"]): (r["cut_slot"] << shift) - 1 if r["key"] is None else r["key"] for r in keys.collect()}
+    within = rows.join(_sent(found, "cut_pattern"), (F.col("pattern") == F.col("cut_pattern")) & (F.shiftright("key", shift) == F.col("slot")))
+    within = within.groupBy("cut_pattern", "at", "floor", "slot", "rest", "key").agg(F.sum("size").alias("size"))
+    run = F.sum("size").over(of_cut.orderBy("key"))
+    below = F.when(F.col("floor"), F.col("run")).otherwise(F.col("run") - F.col("size") / 2) <= F.col("rest")
+    at_key = F.max(F.when(F.col("below"), F.col("key")))
+    held = F.coalesce(F.max(F.when(F.col("below"), F.col("run"))), F.lit(0))
+    keys = within.withColumn("run", run).withColumn("below", below).groupBy("cut_pattern", "at", "slot", "rest").agg(at_key.alias("key"), held.alias("held"), F.min(F.when(~F.col("below"), F.struct("key", "size"))).alias("next"))
+    return stage(keys.select("cut_pattern", "at", F.coalesce("key", F.shiftleft("slot", shift) - 1).alias("key"), (F.col("rest") - F.col("held")).alias("gap"), "next"), "mix-keys")
 
 
 def cycle(weights: tuple[float, ...]):
@@ -274,7 +313,7 @@ def mix_report(docs: DataFrame, weights=(5, 2, 1), seed: int = 6, source_col: st
     spark = docs.sparkSession
     facts = spark.createDataFrame([(p, mix.size[m[0]], float(mix.target[m[0]])) for p, m in mix.patterns], "fact_pattern string, source_size bigint, target double")
     got = mix.copies(rows, F.col("pattern"), F.col("key"))
-    return got.join(F.broadcast(facts), F.col("pattern") == F.col("fact_pattern")).select(id_col, "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("bigint").alias("taken"))
+    return got.join(_sent(facts, "fact_pattern"), F.col("pattern") == F.col("fact_pattern")).select(id_col, "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("bigint").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights=(5, 2, 1), seed: int = 6, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -46,3 +46,31 @@ def test_looser_versions_hide_nothing(spark, earlier, changes, parts):
             found += (later, before) in got
     assert due > 40 and found >= 0.97 * due, (found, due)
     assert all(i > j for i, j in got)
+
+
+def test_gaps_before_last_cuts_are_filled(spark):
+    """A source of small documents and a few very long ones comes as near to its target as its smallest documents allow."""
+    from attestry.llm import mixing
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * (5000 if i % 29 == 0 else rng.randint(3, 40))), f"s{i % 4}") for i in range(2400)] + [(5000, None, "s0"), (5001, "", None), (7, "a b c", "s1")]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(5, 2, 1)).collect()
+    source = {}
+    for i, _, s in rows:
+        source.setdefault(i, s)
+    by = {}
+    for r in got:
+        taken, target = by.get(source[r.doc_id], (0, 0.0))
+        by[source[r.doc_id]] = (taken + r.taken, r.target)
+        assert r.taken % max(1, r.size) == 0 and r.taken <= 3 * r.size
+    assert all(abs(taken - target) <= max(45, 0.001 * target) for taken, target in by.values()), by
+
+
+def test_many_sources(spark):
+    from pyspark.sql import functions as F
+
+    from attestry.llm import mixing
+
+    d = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 4000).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    got = mixing.mix_report(d).agg(F.count("*").alias("n"), F.max(F.col("taken") - 3 * F.col("size")).alias("over"), (F.sum("taken") / F.sum("size")).alias("share")).first()
+    assert got.n == 12_000 and got.over <= 0 and 0.7 < got.share < 1.3
