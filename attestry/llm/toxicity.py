@@ -42,6 +42,8 @@ LEAST_EXAMPLES = 3
 LEAST_LIFT = 3.0
 LEAST_G = 12.0
 STEPS = 800
+#: Ids that are looked at for each one of a sample.
+SPARE = 4
 
 
 def words_of(text: str) -> list[str]:
@@ -122,6 +124,20 @@ def _terms(docs: DataFrame) -> DataFrame:
     return mapped(docs, run, "id string, positive boolean, words array<string>, counts array<int>, n_words int")
 
 
+def some_ids(ids: DataFrame, most: int) -> DataFrame:
+    """The `most` different ids with the smallest hashes, or all if there are fewer.
+
+    Only ids with a small hash, some times as many as are wanted, are made
+    distinct. How many different ids there are is an estimate from sketches
+    that are merged, so ids aren't exchanged for it; the sketch is far nearer
+    than that factor, so the smallest are always among them. Repeated ids
+    count once; an empty table gives an empty table.
+    """
+    share = min(1.0, SPARE * most / max(1, ids.agg(F.approx_count_distinct("id")).first()[0]))
+    small = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    return ids.where(small <= F.lit(min((1 << 63) - 1, int(share * (1 << 63))))).distinct().orderBy(small, "id").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id") -> Model:
     """Fit on at most POSITIVES toxic examples and UNLABELLED documents of all.
 
@@ -139,11 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     mixed = F.xxhash64("id"), F.col("id")
     toxic = known.where("label = 1").select(F.col("key").alias("id")).orderBy(*mixed)
-    # Ids that repeat are one before the sample is cut. Only ids with a small hash, some times as many as are
-    # wanted, take part: the smallest are among them.
-    share = min(1.0, 4 * UNLABELLED / max(1, docs.count()))
-    small = texts.select("id").where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.lit(min((1 << 63) - 1, int(share * (1 << 63)))))
-    u_ids = small.distinct().orderBy(F.shiftrightunsigned(F.xxhash64("id"), 1), "id").limit(UNLABELLED)  # of all text, so that the prior is its toxic share
+    u_ids = some_ids(texts.select("id"), UNLABELLED)  # of all text, so that the prior is its toxic share
     p_ids = toxic.join(texts.select("id"), "id", "left_semi").orderBy(*mixed).limit(POSITIVES)
     chosen = F.broadcast(p_ids.withColumn("positive", F.lit(True)).unionByName(u_ids.withColumn("positive", F.lit(False))))
     sample = texts.join(chosen, "id").groupBy("id", "positive").agg(F.min("text").alias("text"))

@@ -141,3 +141,13 @@ def test_mix_of_nothing(spark):
     assert mixing.mix_report(mixed(spark, 0)).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id bigint, text string, source string")
     assert {(r.size, r.taken, r.target) for r in mixing.mix_report(blank).collect()} == {(0, 0, 0.0)}
+
+
+def test_some_ids_counts_repeated_ids_once(spark):
+    """Rows that repeat an id don't make the sample smaller; it is the ids with the smallest hashes."""
+    ids = spark.range(400).selectExpr("cast(id as string) AS id")
+    many = ids.crossJoin(spark.range(20).select()).repartition(5)
+    got = [r["id"] for r in toxicity.some_ids(many, 50).collect()]
+    hashed = ids.selectExpr("id", "shiftrightunsigned(xxhash64(id), 1) AS h").collect()
+    assert sorted(got) == sorted(r["id"] for r in sorted(hashed, key=lambda r: (r["h"], r["id"]))[:50])
+    assert toxicity.some_ids(many, 1000).count() == 400 and toxicity.some_ids(many.limit(0), 50).count() == 0
