@@ -271,3 +271,11 @@ def test_epoch_lifetime(spark):
     for expires, days in ((at + 86400 * 3, 3.0), (-1.0, None), (0.0, None)):
         got = one(spark, C.epoch_lifetime_days(F.col("e"), F.to_timestamp(F.col("s"))), e=expires, s=START)
         assert got == pytest.approx(days) if days else got is None
+
+
+def test_norm_unifies_each_mark(spark):
+    marks = "‘’“”–—\u00a0"
+    for text in (marks, "x".join(marks), f"A{marks[-1]}  B{marks} ", " ", "", "Ünï – “Cö” 𝒳—"):
+        unified = text.translate(str.maketrans(marks, "''\"\"-- "))
+        want = " ".join(unified.split()).lower()
+        assert one(spark, X.norm(F.col("t")), t=text) == want
